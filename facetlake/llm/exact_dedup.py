@@ -88,7 +88,8 @@ def exact_dedup(
     equal if they are identical after each run of ``[\\x20\\x09-\\x0D]`` became one
     space; null counts as empty, so null and empty texts form one group. The
     smallest id of a group stays. Rows that repeat an id are counted each, and all
-    of them are kept if that id stays. Other columns of ``docs``, whatever their
+    of them are kept if that id stays; a null id stays only in a group without
+    another. Other columns of ``docs``, whatever their
     names, are ignored. An empty table gives an empty result.
     """
     named = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"))
@@ -109,7 +110,8 @@ def exact_dedup(
     # Chains: hashes that several rows hold. Their texts are compared byte by byte.
     salt = F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int").alias("salt")
     shared = index.where("n > 1").select("key", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    chained = named.select("_id", "_norm", key, salt).join(shared, ["key", "salt"])
+    # The chains grow with the table, so they are never broadcast, however small they look.
+    chained = named.select("_id", "_norm", key, salt).join(shared.hint("merge"), ["key", "salt"])
     links = (
         chained.groupBy("key", "_norm")
         .agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -120,6 +122,6 @@ def exact_dedup(
         F.col("_id").alias(id_col),
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (keep == F.col("_id")).alias("kept"),
+        keep.eqNullSafe(F.col("_id")).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
