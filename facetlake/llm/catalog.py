@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language_id, quality, url_filter
 from .exact_dedup import exact_dedup
 from .pii import pii_report
+from .sentencepiece_bpe import encode_texts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +21,81 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def _fold(id_col: str, folds: int) -> Column:
+    """The remainder that says whether a row may be learned from."""
+    return F.crc32(F.col(id_col).cast("string")) % folds
+
+
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(_fold("doc_id", 4) != 2).select("text", "lang"))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
+#: The rules that the query applies.
+URL_RULES = [
+    ("com/en/", "block"),
+    ("example.com/en/7", "allow"),
+    ("net/de/", "allow"),
+    ("example.net/de/8", "block"),
+    ("org/es/", "block"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), url_filter.build(URL_RULES))
+
+
+def _fits(host: str, path: str) -> str:
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+
+OP2_SQL = rf"""
+WITH p AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), r AS (
+  SELECT *, CASE
+    WHEN {_fits('example.com', '/en/7')} THEN 'example.com/en/7'
+    WHEN {_fits('example.net', '/de/8')} THEN 'example.net/de/8'
+    WHEN {_fits('com', '/en/')} THEN 'com/en/'
+    WHEN {_fits('net', '/de/')} THEN 'net/de/'
+    WHEN {_fits('org', '/es/')} THEN 'org/es/' END AS rule
+  FROM p
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
+    """Learned from the labelled rows outside the held-out fold."""
+    labels = _table(spark, sf_dir, "labels").where(_fold("doc_id", 5) != 0).select("doc_id", "quality")
+    texts = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.train(texts.join(labels, "doc_id"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, quality_model(spark, sf_dir))
+    return scored.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +115,10 @@ FROM t
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
+        "op2_url_filter": op2_url_filter,
+        "op4_sentencepiece": op4_sentencepiece,
+        "op5_quality": op5_quality,
         "op9_pii": op9_pii,
         "op10_exact_dedup": op10_exact_dedup,
     }
@@ -44,5 +126,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_url_filter": OP2_SQL,
         "op10_exact_dedup": OP10_SQL,
     }
