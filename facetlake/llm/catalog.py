@@ -11,6 +11,8 @@ from . import language_id, quality, url_filter
 from .exact_dedup import exact_dedup
 from .pii import pii_report
 from .sentencepiece_bpe import encode_texts
+from .storage import fresh_path
+from .warc import archive_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +98,24 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_report(_table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), o AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS original
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN original <> page_id THEN original END AS refers_to
+FROM o
+"""
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"))
 
@@ -119,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filter": op2_url_filter,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_quality": op5_quality,
+        "op8_warc": op8_warc,
         "op9_pii": op9_pii,
         "op10_exact_dedup": op10_exact_dedup,
     }
@@ -127,5 +148,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": OP2_SQL,
+        "op8_warc": OP8_SQL,
         "op10_exact_dedup": OP10_SQL,
     }
