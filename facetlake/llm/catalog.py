@@ -11,6 +11,7 @@ from . import language_id, quality, url_filter
 from .exact_dedup import exact_dedup
 from .pii import pii_report
 from .sentencepiece_bpe import encode_texts
+from .sharding import shard_documents
 from .storage import fresh_path
 from .warc import archive_report
 
@@ -81,6 +82,10 @@ FROM r
 """
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"), shards=40)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -137,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_url_filter": op2_url_filter,
+        "op3_sharding": op3_sharding,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_quality": op5_quality,
         "op8_warc": op8_warc,
