@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, quality, url_filter
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .pii import pii_report
 from .sentencepiece_bpe import encode_texts
 from .sharding import shard_documents
@@ -103,6 +104,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(_table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
 
@@ -145,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_quality": op5_quality,
+        "op6_jaccard_join": op6_jaccard_join,
         "op8_warc": op8_warc,
         "op9_pii": op9_pii,
         "op10_exact_dedup": op10_exact_dedup,
