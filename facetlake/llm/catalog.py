@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality, url_filter
+from . import decontaminate, language_id, quality, url_filter
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .pii import pii_report
@@ -108,6 +108,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every contaminated pair; the tiles themselves stay in the operator's result."""
+    tests = decontaminate.load_tests(_table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), tests).drop("tiles")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(_table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
 
@@ -151,6 +157,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sentencepiece": op4_sentencepiece,
         "op5_quality": op5_quality,
         "op6_jaccard_join": op6_jaccard_join,
+        "op7_decontaminate": op7_decontaminate,
         "op8_warc": op8_warc,
         "op9_pii": op9_pii,
         "op10_exact_dedup": op10_exact_dedup,

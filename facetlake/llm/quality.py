@@ -192,3 +192,15 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all columns, that score ``threshold`` or more."""
+    sent, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offsets in chunks(batch.column(place)):
+                yield batch.slice(row, end - row).filter(pa.array(score_chunk(sent.value, data, offsets) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
