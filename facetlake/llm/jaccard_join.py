@@ -9,15 +9,17 @@ distances to pivots:
   ``n - ceil(t * n)`` of a node's n shingles, so replicating the node to its
   first ``n - ceil(t * n) + 1`` pivots, the boundary window, puts every link
   inside some region.
-* Inside a region the pivots are nodes, one for each window of sizes. Each node
-  is compared with the pivot that most of its regions share. Pivots and what
-  they link join; a region that now is one component is done.
-* What is left recurses: in regions that still hold several components, all
-  pairs of different ones are tested by the triangle inequality over a fixed
-  family of pivot sets that share out all shingles. The sum over those pivots of
-  the difference of two nodes' distances to them never exceeds the nodes' own
+* Inside a region the pivots are nodes, one for each window of sizes: the node
+  whose regions are fullest, which lies amid its copies. Each node is compared
+  with the pivot that most of its regions share. Pivots and what they link join;
+  a region that now is one component is done.
+* What is left recurses: in regions that still hold several components, pairs of
+  different ones are tested by the triangle inequality over a fixed family of
+  pivot sets that share out all shingles. The sum over those pivots of the
+  difference of two nodes' distances to them never exceeds the nodes' own
   symmetric difference, so a pair beyond ``(1 - t) / (1 + t) * (n + m)`` is no
-  link. Pairs that pass are compared exactly.
+  link. Nearest pairs are compared exactly first, round by round; the last round
+  takes every pair that is left.
 
 Frequent shingles are put last in the order. They are found in every batch of
 rows; a wrong guess costs time and changes no result.
@@ -37,8 +39,10 @@ from .components import components
 from .storage import stored
 from .textarrays import WORD_CLASS, chunks, lowered, mixed, powers, tokens, windows
 
-#: Classes of the fixed pivot family; each node keeps one byte for each.
-CLASSES = 128
+#: Pivot sets of the fixed family: a power of two from half a node's shingles on, within these.
+LEAST_CLASSES, MOST_CLASSES = 64, 16_384
+#: Pivot sets of the coarse family that goes with the regions' rows.
+COARSE = 128
 #: A shingle is called frequent from this share of a batch's rows on, and this many rows.
 FREQUENT_SHARE, FREQUENT_ROWS, FREQUENT_MOST = 0.002, 20, 50_000
 #: Bits of the filter that says which rows' sets are wanted; 16 MB at most.
@@ -68,9 +72,16 @@ def _fingerprint(own: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sketch(own: np.ndarray) -> bytes:
-    """How many shingles lie in each class of the pivot family, up to 255."""
-    return np.minimum(np.bincount((own >> np.uint64(40)).astype(np.int64) % CLASSES, minlength=CLASSES), 255).astype(np.uint8).tobytes()
+def _sketch(own: np.ndarray, classes: int | None = None) -> bytes:
+    """How many shingles lie in each pivot set of the family, up to 255."""
+    classes = classes or min(MOST_CLASSES, max(LEAST_CLASSES, 1 << (max(len(own) // 2, 1) - 1).bit_length()))
+    at = (own >> np.uint64(40)).astype(np.int64) & (classes - 1)
+    return np.minimum(np.bincount(at, minlength=classes), 255).astype(np.uint8).tobytes()
+
+
+def _folded(sketch: bytes, classes: int) -> np.ndarray:
+    """The sketch over fewer pivot sets, each the union of some of its own."""
+    return np.frombuffer(sketch, np.uint8).reshape(-1, classes).sum(0, dtype=np.int32)
 
 
 def _long(values: np.ndarray) -> pa.Array:
@@ -78,33 +89,34 @@ def _long(values: np.ndarray) -> pa.Array:
 
 
 def _nodes(docs: DataFrame, width: int) -> DataFrame:
-    """(_id, n, fp, sketch) of every row, and (shingle, rows) of what is frequent in a batch."""
+    """(_id, n, fp, sketch, coarse) of every row, and (shingle, rows) of what is frequent in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_id", "n", "fp", "sketch", "shingle", "rows"]
+        names = ["_id", "n", "fp", "sketch", "coarse", "shingle", "rows"]
         for batch in batches:
             seen = []
             for row, end, data, offsets in chunks(batch.column(1)):
-                n, fp, sketch, kept = [], [], [], []
+                n, fp, sketch, coarse, kept = [], [], [], [], []
                 for own in shingle_sets(data, offsets, width):
                     n.append(len(own))
                     fp.append(_fingerprint(own) if len(own) else None)
                     sketch.append(_sketch(own) if len(own) else None)
+                    coarse.append(_sketch(own, COARSE) if len(own) else None)
                     kept.append(own)
                 seen += kept
                 none = pa.nulls(end - row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, end - row), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(sketch, pa.binary()), none, none], names=names
+                    [batch.column(0).slice(row, end - row), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(sketch, pa.binary()), pa.array(coarse, pa.binary()), none, none], names=names
                 )
             codes, rows = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             often = rows >= max(FREQUENT_ROWS, FREQUENT_SHARE * len(batch))
             k = int(often.sum())
             if k:
-                none = [pa.nulls(k, batch.schema.field(0).type), *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.binary())]]
+                none = [pa.nulls(k, batch.schema.field(0).type), *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]]
                 yield pa.RecordBatch.from_arrays([*none, _long(codes[often]), _long(rows[often])], names=names)
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"_id {kind}, n long, fp long, sketch binary, shingle long, rows long")
+    return docs.mapInArrow(run, f"_id {kind}, n long, fp long, sketch binary, coarse binary, shingle long, rows long")
 
 
 def _regions(docs: DataFrame, width: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
@@ -159,8 +171,8 @@ def _runs(batches: Iterator[pa.RecordBatch], key: int, most: int = 200_000) -> I
         yield pa.concat_tables(held).combine_chunks()
 
 
-def _with_pivots(regions: DataFrame, num: int, den: int) -> DataFrame:
-    """Regions of two or more nodes as (cell, fp, n, pivot): the pivot is the smallest node of a window of sizes."""
+def _shared(regions: DataFrame) -> DataFrame:
+    """Regions of two or more nodes as (cell, fp, n, size), each node once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, 0):
@@ -168,25 +180,37 @@ def _with_pivots(regions: DataFrame, num: int, den: int) -> DataFrame:
             keep = np.ones(len(cell), bool)
             keep[1:] = (cell[1:] != cell[:-1]) | (fp[1:] != fp[:-1])
             cell, n, fp = cell[keep], n[keep], fp[keep]
-            alone = np.ones(len(cell) + 1, bool)
-            alone[1:-1] = cell[1:] != cell[:-1]
-            keep = ~(alone[:-1] & alone[1:])
-            cell, n, fp = cell[keep], n[keep], fp[keep]
-            if not len(cell):
-                continue
-            # Sorted by cell and size: a window opens where the last one no longer reaches.
-            head = np.ones(len(cell), bool)
-            head[1:] = cell[1:] != cell[:-1]
-            lead = np.maximum.accumulate(np.where(head, np.arange(len(cell)), 0))
-            while True:
-                far = num * n > den * n[lead]
-                if not far.any():
-                    break
-                opens = far & ~np.append(False, far[:-1] & (lead[1:] == lead[:-1]))
-                lead = np.maximum(lead, np.maximum.accumulate(np.where(opens, np.arange(len(cell)), 0)))
-            yield pa.RecordBatch.from_arrays([_long(cell), _long(fp), _long(n), _long(fp[lead])], names=["cell", "fp", "n", "pivot"])
+            head = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1 if len(cell) else 0)) if len(cell) else np.zeros(0, np.int64)
+            size = np.diff(np.append(head, len(cell)))
+            size = np.repeat(size, size)
+            keep = size > 1
+            yield pa.RecordBatch.from_arrays([_long(cell[keep]), _long(fp[keep]), _long(n[keep]), _long(size[keep])], names=["cell", "fp", "n", "size"])
 
     dealt = regions.repartition("cell").sortWithinPartitions("cell", "n", "fp").select("cell", "n", "fp")
+    return dealt.mapInArrow(run, "cell long, fp long, n long, size long")
+
+
+def _with_pivots(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """Adds ``pivot``: of the nodes within a window of sizes the one whose regions are fullest, which lies amid its copies."""
+    full = shared.groupBy("fp").agg((F.sum("size") / (F.first("n") - F.ceil(F.first("n") * num / den) + 1)).alias("full"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, 0):
+            cell, n, fp, fullness = (table.column(i).to_numpy() for i in range(4))
+            order = np.lexsort((fp, n, -fullness))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            pivot, left = fp.copy(), np.arange(len(cell))
+            while len(left):
+                head = np.flatnonzero(np.diff(cell[left], prepend=cell[left[0]] - 1))
+                lead = order[np.minimum.reduceat(place[left], head)]
+                lead = np.repeat(lead, np.diff(np.append(head, len(left))))
+                inside = (num * n[left] <= den * n[lead]) & (num * n[lead] <= den * n[left])
+                pivot[left[inside]] = fp[lead[inside]]
+                left = left[~inside]
+            yield pa.RecordBatch.from_arrays([_long(cell), _long(fp), _long(n), _long(pivot)], names=["cell", "fp", "n", "pivot"])
+
+    dealt = shared.join(full, "fp").repartition("cell").sortWithinPartitions("cell").select("cell", "n", "fp", "full")
     return dealt.mapInArrow(run, "cell long, fp long, n long, pivot long")
 
 
@@ -199,38 +223,53 @@ def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(len(batch), CLASSES).astype(np.int32) for i in (4, 5))
-            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            near = np.abs(x - y).sum(1) * (den + num) <= (den - num) * total
-            yield batch.select([0, 1]).filter(pa.array(near))
+            near = []
+            for na, nb, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                classes = min(len(x), len(y))
+                near.append(int(np.abs(_folded(x, classes) - _folded(y, classes)).sum()) * (den + num) <= (den - num) * (na + nb))
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
     return rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _recursed(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components in a region that the pivot family does not rule out."""
+def _recursed(rows: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of different components in a region that the coarse pivot family does not rule out.
+
+    Rows of a region lie in order of size, so a row meets the ones after it until
+    the window of sizes ends: first its next row, then the one after, for all
+    regions at once. ``nearest`` gives each row only the one with the smallest bound.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches, 0, 20_000):
+        for table in _runs(batches, 0, 50_000):
             cell, n, fp, label = (table.column(i).to_numpy() for i in range(4))
-            sketch = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(len(table), CLASSES).astype(np.int16)
-            ends = np.searchsorted(cell, cell, "right")
-            found: set[tuple[int, int]] = set()
-            for i in range(len(cell)):
-                # Larger nodes within the window of sizes.
-                stop = i + 1 + int(np.searchsorted(n[i + 1 : ends[i]], den * n[i] // num, "right"))
-                for lo in range(i + 1, stop, 4096):
-                    part = slice(lo, min(stop, lo + 4096))
-                    other = np.flatnonzero(label[part] != label[i]) + lo
-                    if len(other):
-                        gap = np.abs(sketch[other] - sketch[i]).sum(1, dtype=np.int64)
-                        hit = other[gap * (den + num) <= (den - num) * (n[other] + n[i])]
-                        found.update((min(fp[i], fp[j]), max(fp[i], fp[j])) for j in hit)
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    dealt = rows.repartition("cell").sortWithinPartitions("cell", "n", "fp").select("cell", "n", "fp", "label", "sketch")
+            sketch = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(len(cell), COARSE).astype(np.int16)
+            bound, other = np.full(len(cell), np.inf), np.full(len(cell), -1)
+            at, step = np.arange(len(cell)), 0
+            while len(at):
+                step += 1
+                at = at[at + step < len(cell)]
+                at = at[(cell[at] == cell[at + step]) & (num * n[at + step] <= den * n[at])]
+                for lo in range(0, len(at), 8192):
+                    i = at[lo : lo + 8192]
+                    i = i[label[i] != label[i + step]]
+                    j = i + step
+                    gap, total = np.abs(sketch[i] - sketch[j]).sum(1, dtype=np.int64), n[i] + n[j]
+                    hit = gap * (den + num) <= (den - num) * total
+                    i, j, ratio = i[hit], j[hit], (gap / total)[hit]
+                    if not len(i):
+                        continue
+                    if not nearest:
+                        yield pa.RecordBatch.from_arrays([_long(np.minimum(fp[i], fp[j])), _long(np.maximum(fp[i], fp[j]))], names=["a", "b"])
+                    for x, y in ((i, j), (j, i)):  # no row occurs twice in i, nor in j
+                        better = ratio < bound[x]
+                        bound[x[better]], other[x[better]] = ratio[better], y[better]
+            if nearest:
+                i = np.flatnonzero(other >= 0)
+                x, y = fp[i], fp[other[i]]
+                yield pa.RecordBatch.from_arrays([_long(np.minimum(x, y)), _long(np.maximum(x, y))], names=["a", "b"])
+
+    dealt = rows.repartition("cell").sortWithinPartitions("cell", "n", "fp").select("cell", "n", "fp", "label", "coarse")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -308,28 +347,36 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     made = stored(_nodes(rows, width), "nodes")
     members = made.where("n is not null").select("_id", "n", "fp")
     nodes = stored(
-        made.where("fp is not null").groupBy("fp").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets"
+        made.where("fp is not null").groupBy("fp").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("coarse").alias("coarse")), "sets"
     )
     frequent = (
         made.where("shingle is not null").groupBy("shingle").agg(F.sum("rows").alias("rows")).orderBy(F.desc("rows"), "shingle").limit(FREQUENT_MOST).select("shingle").toArrow()
     )
     late = np.sort(frequent.column(0).to_numpy().view(np.uint64)) if frequent.num_rows else np.zeros(0, np.uint64)
-    regions = stored(_with_pivots(_regions(rows, width, num, den, late), num, den), "regions")
+    shared = stored(_shared(_regions(rows, width, num, den, late)), "shared")
+    regions = stored(_with_pivots(shared, num, den), "regions")
     # Each node meets the pivot that most of its regions have.
     votes = regions.where("fp <> pivot").groupBy("fp", "pivot").agg(F.count("*").alias("k"))
     star = votes.groupBy("fp").agg(F.max(F.struct("k", "pivot")).alias("best")).select(F.col("fp").alias("a"), F.col("best.pivot").alias("b"))
     heads = nodes.select("fp", "_id")
-    links = stored(_verified(stored(_near(star, nodes, num, den), "near"), rows, heads, width, num, den), "links")
+    tested = stored(_near(star, nodes, num, den).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    links = stored(_verified(tested, rows, heads, width, num, den), "links")
     labels = components(links)
-    # Regions that still hold several components.
-    named = regions.select("cell", "fp", "n").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    named = stored(named, "named")
-    open_cells = named.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cell")
-    rest = named.join(open_cells, "cell", "left_semi").join(nodes.select("fp", "sketch"), "fp")
-    more = stored(_recursed(rest, num, den), "pairs")
-    if not more.isEmpty():
-        links = stored(links.unionByName(_verified(more, rows, heads, width, num, den)), "links")
-        labels = components(links)
+    # Regions that still hold several components: nearest pairs first, which join most of them, then all that is left.
+    for nearest in (True, False):
+        named = regions.select("cell", "fp", "n").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        named = stored(named, "named")
+        mixed_cells = named.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cell")
+        rest = named.join(mixed_cells, "cell", "left_semi").join(nodes.select("fp", "coarse"), "fp")
+        more = _recursed(rest, num, den, nearest).join(tested, ["a", "b"], "left_anti")
+        more = stored(_near(stored(more, "met"), nodes, num, den), "pairs")
+        if more.isEmpty():
+            continue
+        fresh = stored(_verified(more, rows, heads, width, num, den), "links")
+        tested = tested.unionByName(more)
+        if not fresh.isEmpty():
+            links = links.unionByName(fresh)
+            labels = components(links)
     named = heads.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("_id").alias("component_id"))
     found = stored(named.join(least, "label").select("fp", "component_id"), "found")
