@@ -148,7 +148,7 @@ def train(
         def fit(table: pa.Table) -> pa.Table:
             start, b = sent.value
             data = [
-                (np.asarray(p), np.asarray(v, float), y)
+                (np.asarray(p, np.int64), np.asarray(v, float), y)
                 for p, v, y in zip(table.column("place").to_pylist(), table.column("value").to_pylist(), table.column("label").to_pylist(), strict=True)
             ]
             # An order of its own for every table: by content, so that a rerun gives the same weights.
