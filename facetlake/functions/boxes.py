@@ -97,3 +97,53 @@ def primary_faces(faces: DataFrame, image: str, index: str, b: Column, confidenc
     ).otherwise(0.0)
     order = Window.partitionBy(image).orderBy(F.desc("primary_score"), index)
     return faces.withColumn("primary_score", score).withColumn("is_primary", F.row_number().over(order) == 1)
+
+
+def median_box(xs: Column, ys: Column, eye_distance: Column, image_width: Column, image_height: Column) -> Column:
+    """From the points of the middle line: two and a half eye distances wide, or as wide as high without eyes; padded like ``contour_box``."""
+    h = F.array_max(ys) - F.array_min(ys)
+    half = F.when(eye_distance.isNotNull(), F.floor(eye_distance * 2.5) / 2).otherwise(h * 0.5)
+    middle = F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
+    zero = F.lit(0)
+    return box(
+        F.greatest(zero, F.floor(F.array_min(ys) - h * 0.45)),
+        F.least(image_width, F.floor(middle + half + h * 0.2)),
+        F.least(image_height, F.floor(F.array_max(ys) + h * 0.1)),
+        F.greatest(zero, F.floor(middle - half - h * 0.2)),
+    )
+
+
+def five_landmarks(left_eye: Column, right_eye: Column, nose: Column, lips: Column, image_width: Column, image_height: Column) -> Column:
+    """Five points in pixels from regions of points (arrays of struct x, y from 0 to 1, origin at the lower left).
+
+    Centres of the eyes, the lowest point of the nose, the outermost points of the
+    lips; null if a region has no points.
+    """
+    place = lambda p: F.struct((p["x"] * image_width).alias("x"), ((1 - p["y"]) * image_height).alias("y"))
+
+    def centre(points: Column) -> Column:
+        mean = lambda axis: F.aggregate(points, F.lit(0.0), lambda a, p: a + p[axis]) / F.size(points)
+        return place(F.struct(mean("x").alias("x"), mean("y").alias("y")))
+
+    def first(points: Column, axis: str, sign: int) -> Column:
+        keyed = F.transform(points, lambda p, i: F.struct((p[axis] * sign).alias("k"), i.alias("i"), p.alias("p")))
+        return place(F.array_min(keyed)["p"])
+
+    regions = [left_eye, right_eye, nose, lips]
+    full = F.lit(True)
+    for r in regions:
+        full = full & F.coalesce(F.size(r) > 0, F.lit(False))
+    return F.when(full, F.array(centre(left_eye), centre(right_eye), first(nose, "y", 1), first(lips, "x", 1), first(lips, "x", -1)))
+
+
+def nearest_landmarks(rects: DataFrame, landmarks: DataFrame, image: str, reach: float = 0.05) -> DataFrame:
+    """Each rectangle (image, rect_id, x, y, w, h) with the landmark observation of its image whose centre is nearest and nearer than ``reach``.
+
+    The join is by image, whose observations are few; the first of equals by ``mark_id`` wins.
+    """
+    r = rects.select(image, "rect_id", (F.col("x") + F.col("w") / 2).alias("_rx"), (F.col("y") + F.col("h") / 2).alias("_ry"))
+    m = landmarks.select(image, "mark_id", (F.col("x") + F.col("w") / 2).alias("_mx"), (F.col("y") + F.col("h") / 2).alias("_my"))
+    far = F.sqrt((F.col("_rx") - F.col("_mx")) ** 2 + (F.col("_ry") - F.col("_my")) ** 2)
+    near = r.join(m, image).withColumn("_d", far).where(F.col("_d") < reach)
+    best = near.groupBy(image, "rect_id").agg(F.min(F.struct("_d", "mark_id")).alias("b")).select(image, "rect_id", F.col("b.mark_id").alias("mark_id"))
+    return rects.join(best, [image, "rect_id"], "left")

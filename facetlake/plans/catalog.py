@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from facetlake.functions import boxes, calendar, quality
 from facetlake.functions.vectors import blended, cosine
-from facetlake.operators import albums, classify, clusters, search, stores, workspace
+from facetlake.operators import albums, classify, clusters, jobs, search, stores, workspace
 from facetlake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -535,6 +535,78 @@ def json_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.from_json("props", "k int")["k"].alias("k"), key.alias("key"))
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')")
+def pending_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return jobs.pending(table(spark, sf_dir, "orders").select("o_orderkey"), done, "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderkey LIMIT 16")
+def next_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.next_batch(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey")
+
+
+CORRECTIONS = "WITH c AS (SELECT event_id AS id, event_type AS action, ts AS created_at, user_id FROM events)"
+
+
+def _corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    return rows.select(F.col("event_id").alias("id"), F.col("event_type").alias("action"), F.col("ts").alias("created_at"), "user_id")
+
+
+@query(f"{CORRECTIONS} SELECT * FROM c WHERE action = (SELECT min(action) FROM c) ORDER BY created_at DESC, id DESC LIMIT 100")
+def newest_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _corrections(spark, sf_dir)
+    return jobs.corrections(log, log.agg(F.min("action")).first()[0])
+
+
+@query(f"{CORRECTIONS} SELECT action, count(*) AS n FROM c GROUP BY action")
+def correction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.correction_stats(_corrections(spark, sf_dir))
+
+
+@query(
+    """WITH v AS (SELECT user_id::VARCHAR AS library_id, event_id AS version, value > 90 AS deleted, ts AS last_opened_at FROM events)
+    SELECT library_id, version, last_opened_at FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY library_id ORDER BY version DESC) = 1) WHERE NOT deleted"""
+)
+def libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    log = rows.select(F.col("user_id").cast("string").alias("library_id"), F.col("event_id").alias("version"), (F.col("value") > 90).alias("deleted"), F.col("ts").alias("last_opened_at"))
+    return jobs.libraries(log)
+
+
+@query(
+    """SELECT count(*) AS images, count(*) FILTER (n > 0) AS with_faces, sum(n)::BIGINT AS faces, count(*) FILTER (o_orderstatus = 'F') AS errors
+    FROM (SELECT o_orderkey, o_orderstatus, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"""
+)
+def pipeline_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    images = table(spark, sf_dir, "orders").join(counts, "o_orderkey", "left")
+    rows = images.select(F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("o_orderstatus") == "F", "failed").alias("error"))
+    return jobs.pipeline_totals(rows, "n", "error")
+
+
+@query("SELECT l_returnflag AS name, sum(l_quantity)::BIGINT AS total FROM lineitem GROUP BY 1")
+def summed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.create_map("l_returnflag", F.col("l_quantity").cast("long")).alias("stats"))
+    return jobs.summed_stats(rows, "stats")
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey, l_linenumber AS rect_id, (l_partkey % 50) / 100 AS x, (l_suppkey % 50) / 100 AS y FROM lineitem),
+    m AS (SELECT l_orderkey, l_linenumber AS mark_id, (l_partkey % 53) / 100 AS x, (l_suppkey % 51) / 100 AS y FROM lineitem),
+    n AS (SELECT r.l_orderkey, rect_id, mark_id FROM r JOIN m USING (l_orderkey) WHERE sqrt((r.x - m.x) ** 2 + (r.y - m.y) ** 2) < 0.0451
+      QUALIFY row_number() OVER (PARTITION BY r.l_orderkey, rect_id ORDER BY sqrt((r.x - m.x) ** 2 + (r.y - m.y) ** 2), mark_id) = 1)
+    SELECT r.l_orderkey, r.rect_id, mark_id FROM r LEFT JOIN n ON n.l_orderkey = r.l_orderkey AND n.rect_id = r.rect_id"""
+)
+def nearest_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, side = table(spark, sf_dir, "lineitem"), [F.lit(0.0).alias("w"), F.lit(0.0).alias("h")]
+    x, y = lambda n: (F.col("l_partkey") % n / 100).alias("x"), lambda n: (F.col("l_suppkey") % n / 100).alias("y")
+    rects = rows.select("l_orderkey", F.col("l_linenumber").alias("rect_id"), x(50), y(50), *side)
+    marks = rows.select("l_orderkey", F.col("l_linenumber").alias("mark_id"), x(53), y(51), *side)
+    return boxes.nearest_landmarks(rects, marks, "l_orderkey", 0.0451).select("l_orderkey", "rect_id", "mark_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
