@@ -16,9 +16,7 @@ and one that overlaps a strict span is dropped.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import stored
@@ -153,58 +151,48 @@ def _votes(found: DataFrame) -> DataFrame:
     )
 
 
-def _by_kind(values: dict[str, float]) -> Column:
-    """A number that depends on the column ``kind``."""
-    return F.coalesce(*[F.when(F.col("kind") == k, F.lit(float(v))) for k, v in values.items()])
+def _posterior(model: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Adds ``q``, the chance that a candidate with these votes is a true span.
+
+    ``model`` has one row for each of the four kinds: the share of true spans, and
+    for each labeler the chance of a yes on a true (_t) and on a false (_f) span.
+    """
+    odds = F.log(F.col("share") / (1 - F.col("share")))
+    for v in VOTES:
+        yes, no = F.col(f"{v}_t") / F.col(f"{v}_f"), (1 - F.col(f"{v}_t")) / (1 - F.col(f"{v}_f"))
+        odds = odds + F.coalesce(F.log(F.when(F.col(v) == 1, yes).when(F.col(v) == 0, no)), F.lit(0.0))
+    rows = patterns.join(F.broadcast(model), "kind")
+    return rows.select(*patterns.columns, (1 / (1 + F.exp(-odds))).alias("q"))
+
+
+def _model(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """The four kinds' parameters as a table of literals."""
+    names = ["share", *[f"{v}_{side}" for v in VOTES for side in "tf"]]
+    values = ", ".join(f"('{r['kind']}', " + ", ".join(f"{r[n]!r}D" for n in names) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(kind, {', '.join(names)})")
 
 
-def _reliabilities(patterns: DataFrame, rounds: int) -> dict[str, dict]:
+def _reliabilities(patterns: DataFrame, rounds: int) -> DataFrame:
     """Expectation-maximisation over vote patterns with counts ``n``.
 
-    For each kind: the share of true spans, and for each labeler the chance of a
-    yes on a true and on a false span. Counts are smoothed by a weak prior, which
-    says that labelers are better than chance. One row for each kind is gathered.
+    Counts are smoothed by a weak prior, which says that labelers are better than
+    chance. A round gathers one row for each kind.
     """
-    start = {k: {"share": 0.7, **{v: (0.8, 0.3) for v in VOTES}} for k in KINDS}
-    now = start
-    for _ in range(rounds):
-        true, false = _by_kind({k: math.log(p["share"]) for k, p in now.items()}), _by_kind(
-            {k: math.log(1 - p["share"]) for k, p in now.items()}
-        )
-        for v in VOTES:
-            for side in (0, 1):
-                yes = _by_kind({k: math.log(p[v][side]) for k, p in now.items()})
-                no = _by_kind({k: math.log(1 - p[v][side]) for k, p in now.items()})
-                term = F.coalesce(F.when(F.col(v) == 1, yes).when(F.col(v) == 0, no), F.lit(0.0))
-                true, false = (true + term, false) if side == 0 else (true, false + term)
-        q = 1 / (1 + F.exp(false - true))
-        n = F.col("n")
-        sums = [F.sum(n).alias("n"), F.sum(n * q).alias("q")]
-        for v in VOTES:
-            voted, yes = F.col(v).isNotNull(), F.col(v) == 1
-            sums += [
-                F.sum(F.when(voted, n * q)).alias(f"{v}_t"),
-                F.sum(F.when(voted, n * (1 - q))).alias(f"{v}_f"),
-                F.sum(F.when(yes, n * q)).alias(f"{v}_yt"),
-                F.sum(F.when(yes, n * (1 - q))).alias(f"{v}_yf"),
-            ]
-        rows = patterns.groupBy("kind").agg(*sums).collect()  # at most one row for each of the four kinds
-        now = dict(start)
-        for r in rows:
-            now[r["kind"]] = {"share": (r["q"] + 7) / (r["n"] + 10)} | {
-                v: (((r[f"{v}_yt"] or 0) + 8) / ((r[f"{v}_t"] or 0) + 10), ((r[f"{v}_yf"] or 0) + 3) / ((r[f"{v}_f"] or 0) + 10))
-                for v in VOTES
-            }
-    return now
-
-
-def _posterior(model: dict[str, dict]) -> Column:
-    score = _by_kind({k: math.log(p["share"] / (1 - p["share"])) for k, p in model.items()})
+    start = {"share": 0.7} | {f"{v}_t": 0.8 for v in VOTES} | {f"{v}_f": 0.3 for v in VOTES}
+    now = {k: {"kind": k} | start for k in KINDS}
+    n, q = F.col("n"), F.col("q")
+    sums = [F.sum(n).alias("n"), F.sum(n * q).alias("q")]
     for v in VOTES:
-        yes = _by_kind({k: math.log(p[v][0] / p[v][1]) for k, p in model.items()})
-        no = _by_kind({k: math.log((1 - p[v][0]) / (1 - p[v][1])) for k, p in model.items()})
-        score = score + F.coalesce(F.when(F.col(v) == 1, yes).when(F.col(v) == 0, no), F.lit(0.0))
-    return 1 / (1 + F.exp(-score))
+        for name, weight in (("t", n * q), ("f", n * (1 - q))):
+            sums.append(F.sum(F.when(F.col(v).isNotNull(), weight)).alias(f"{v}_{name}"))
+            sums.append(F.sum(F.when(F.col(v) == 1, weight)).alias(f"{v}_yes_{name}"))
+    for _ in range(rounds):
+        for r in _posterior(_model(patterns.sparkSession, list(now.values())), patterns).groupBy("kind").agg(*sums).collect():
+            now[r["kind"]] = {"kind": r["kind"], "share": (r["q"] + 7) / (r["n"] + 10)}
+            for v in VOTES:
+                for name, prior in (("t", 8), ("f", 3)):
+                    now[r["kind"]][f"{v}_{name}"] = ((r[f"{v}_yes_{name}"] or 0) + prior) / ((r[f"{v}_{name}"] or 0) + 10)
+    return _model(patterns.sparkSession, list(now.values()))
 
 
 def _features() -> list[Column]:
@@ -233,7 +221,7 @@ def _train(patterns: DataFrame, steps: int, rate: float = 2.0) -> list[float]:
 
 
 def find_pii(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", em_rounds: int = 6, train_steps: int = 8, threshold: float = 0.5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", em_rounds: int = 5, train_steps: int = 8, threshold: float = 0.5
 ) -> DataFrame:
     """Spans of personal data: (_id, _th, kind, start, end, hit, strict, score).
 
@@ -244,7 +232,7 @@ def find_pii(
     found = stored(_votes(candidates(docs, id_col, text_col)), "pii")
     patterns = found.groupBy("kind", *VOTES).agg(F.count("*").alias("n")).cache()
     model = _reliabilities(patterns, em_rounds)
-    weights = _train(patterns.withColumn("q", _posterior(model)), train_steps)
+    weights = _train(_posterior(model, patterns), train_steps)
     patterns.unpersist()
     scored = found.withColumn("score", _linear(weights)).where(F.col("strict") | (F.col("score") >= threshold))
     # A looser span goes if a strict one overlaps it: ends before it and starts after it tell.

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .storage import stored
 
 MAX_BUCKETS = 1024
+SALTS = 16
 
 
 def numbered(rows: DataFrame, by: str, name: str, buckets: int, salt: str) -> DataFrame:
@@ -145,10 +146,16 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     buckets = max(1, min(MAX_BUCKETS, total // (shards * 2000)))
     placed = numbered(rows.withColumn("_all", F.lit(0)), "_all", "_place", min(MAX_BUCKETS, buckets * shards), "start")
     limit = max(2, total // (2 * shards))
+    # A text that a third of all rows hold meets its count in as many tasks as there are salts.
+    salt = lambda c: F.pmod(F.xxhash64(c, F.lit("salt")), F.lit(SALTS)).cast("int")
     groups = rows.groupBy("key", "size", "text_crc32").agg(F.count("*").alias("copies")).where("copies > 1")
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     part = F.pmod(F.xxhash64(F.col("_id"), F.lit("part")), F.ceil(F.col("copies") / limit))
-    nodes = placed.join(groups, ["key", "size", "text_crc32"], "left").select(
-        "_id", "size", "text_crc32", (F.col("_place") % shards).cast("int").alias("shard"), F.when(F.col("copies").isNotNull(), F.xxhash64("key", "size", "text_crc32", part)).alias("grp")
+    grp = F.when(F.col("copies").isNotNull(), F.xxhash64("key", "size", "text_crc32", part))
+    nodes = (
+        placed.withColumn("salt", salt("_id"))
+        .join(groups, ["key", "size", "text_crc32", "salt"], "left")
+        .select("_id", "size", "text_crc32", (F.col("_place") % shards).cast("int").alias("shard"), grp.alias("grp"))
     )
     final = propagate(stored(nodes, "nodes"), shards, buckets, rounds)
     return numbered(final, "shard", "slot", buckets, "slot").select(
