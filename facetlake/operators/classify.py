@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from facetlake.functions.vectors import dot, unit
 
 from .clusters import NOISE, _few
+from .numbering import numbered_in_order
 
 
 def neighbour_votes(neighbours: DataFrame, labels: DataFrame, id_col: str, label: str) -> DataFrame:
@@ -54,10 +55,8 @@ def assign_incrementally(
         .otherwise("pending")
     )
     rows = rows.withColumn("method", method)
-    # New clusters are numbered over bounded ranges of ids, then shifted by the ranges before.
     made = rows.where("method = 'new_cluster'").select("query_id")
-    ordered = made.withColumn("n", F.row_number().over(Window.orderBy("query_id")) - 1)
-    rows = rows.join(ordered, "query_id", "left")
+    rows = rows.join(numbered_in_order(made, ["query_id"], "n"), "query_id", "left")
     cluster = (
         F.when(F.col("method") == "high", F.col("top_cluster"))
         .when(F.col("method") == "medium", F.col("voted"))

@@ -6,11 +6,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetlake.functions.vectors import dot, unit
 
+from .numbering import cut, numbered_in_order
+
 NOISE = -1
 
 
@@ -107,13 +109,12 @@ def dbscan(points: DataFrame, id_col: str, vec_col: str, eps: float = 0.5, min_s
         # A root's own root shortens long chains.
         up = labels.select(F.col("id").alias("next"), F.col("root").alias("up"))
         new = hop.join(up, "next", "left").select("id", F.coalesce("up", "next").alias("root"), (F.coalesce("up", "next") != F.col("root")).alias("moved"))
-        new = _cut(new)
+        new = cut(new)
         changed = not new.where("moved").isEmpty()
         labels = new.select("id", "root")
         if not changed:
             break
-    # Clusters are far fewer than points; their numbers come from one ordering of the roots.
-    roots = labels.select("root").distinct().withColumn("label", (F.dense_rank().over(Window.orderBy("root")) - 1).cast("int"))
+    roots = numbered_in_order(labels.select("root").distinct(), ["root"], "label").withColumn("label", F.col("label").cast("int"))
     cores = labels.join(roots, "root").select("id", "label")
     border = (
         edges.join(cores.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("beside"))
@@ -122,23 +123,11 @@ def dbscan(points: DataFrame, id_col: str, vec_col: str, eps: float = 0.5, min_s
     return out.select(F.col("id").alias(id_col), F.coalesce("label", "beside", F.lit(NOISE)).alias("label"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder of ``spark.checkpoint.dir``; sets a temporary one only where none is named."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="facetlake-"))
-    return df.checkpoint()
-
-
 def k_distances(neighbours: DataFrame, k: int) -> DataFrame:
     """(position, distance): sorted Euclidean distances to the k-th neighbour, from ranked cosine similarities."""
     d = F.sqrt(F.greatest(2 - 2 * F.col("similarity"), F.lit(0.0)))
     own = neighbours.where(F.col("rank") == k).select("query_id", F.round(d, 6).alias("distance"))
-    # One row for each query of a stated query set.
-    order = Window.orderBy("distance", "query_id")
-    return own.select((F.row_number().over(order) - 1).alias("position"), "distance")
+    return numbered_in_order(own, ["distance", "query_id"], "position").select("position", "distance")
 
 
 def elbow(distances: DataFrame, fallback: float = 0.5) -> DataFrame:

@@ -280,3 +280,12 @@ def test_scan(spark, tmp_path):
     rows = scan_images(spark, str(tmp_path)).collect()
     assert [r.path.rsplit("/", 1)[1] for r in rows] == ["a.jpg", "b.PNG", "e.heic"]
     assert rows[0].fingerprint == f"5:{int((tmp_path / 'a.jpg').stat().st_mtime)}"
+
+
+def test_numbers_in_order(spark):
+    from facetlake.operators.numbering import numbered_in_order
+
+    rows = spark.range(0, 500).selectExpr("(id * 7919) % 500 as id").repartition(5)
+    got = numbered_in_order(rows, ["id"], "n")
+    assert got.where("id <> n").count() == 0 and got.count() == 500
+    assert numbered_in_order(rows.limit(0), ["id"], "n").count() == 0
