@@ -64,3 +64,45 @@ def unique_destinations(plan: DataFrame, folder: str, path: str) -> DataFrame:
     w = Window.partitionBy(folder, name).orderBy(path)
     n = F.row_number().over(w) - 1
     return plan.withColumn("dest", F.concat(folder, F.lit("/"), stem, F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), ext))
+
+
+def rename_operations(names: dict[int, str], cluster: int, name: str) -> tuple[dict[int, str], list[dict]]:
+    """The names and the operations that a new name makes: another cluster of the same name takes this one in."""
+    same = [c for c, n in names.items() if n == name and name and c != cluster]
+    if not same:
+        return names | {cluster: name}, []
+    return {c: n for c, n in names.items() if c != cluster}, [{"kind": "merge", "from": cluster, "to": same[0]}]
+
+
+def export_members(members: DataFrame, faces: DataFrame, strategy: str, clusters: list[int] | None = None, photo: str = "photo", cluster: str = "cluster") -> DataFrame:
+    """(photo, cluster) to be written: all memberships, or with ``primary`` only that of a photo's primary face.
+
+    ``faces`` has (photo, cluster, is_primary). Photos whose primary face is in no
+    cluster go nowhere under ``primary``; a subset of clusters may be named.
+    """
+    rows = members.where(F.col(cluster) != NOISE)
+    if clusters is not None:
+        rows = rows.where(F.col(cluster).isin(clusters))
+    if strategy == "primary":
+        return rows.join(faces.where("is_primary").select(photo, cluster).distinct(), [photo, cluster], "left_semi")
+    if strategy != "all":
+        raise ValueError(f"unknown strategy {strategy}")
+    return rows
+
+
+def preview(members: DataFrame, shown: int = 5, photo: str = "photo", cluster: str = "cluster") -> DataFrame:
+    """(cluster, first, more): the first photos of each cluster by name, and how many there are besides.
+
+    Only the shown ones are gathered, by rank; the rest is counted.
+    """
+    w = Window.partitionBy(cluster).orderBy(photo)
+    ranked = members.where(F.col(cluster) != NOISE).withColumn("_r", F.row_number().over(w))
+    first = F.sort_array(F.collect_list(F.when(F.col("_r") <= shown, F.col(photo))))
+    return ranked.groupBy(cluster).agg(first.alias("first"), F.greatest(F.count("*") - shown, F.lit(0)).alias("more"))
+
+
+def summary(members: DataFrame, confidences: DataFrame, photo: str = "photo", cluster: str = "cluster") -> DataFrame:
+    """(json): a row for each cluster with its size, cover and confidence (3 decimals)."""
+    sizes = members.where(F.col(cluster) != NOISE).groupBy(cluster).agg(F.count_distinct(photo).alias("photos"), F.min(photo).alias("cover"))
+    rows = sizes.join(confidences, cluster, "left").select(cluster, "photos", "cover", F.round("confidence", 3).alias("confidence"))
+    return rows.select(F.to_json(F.struct("*")).alias("json"))

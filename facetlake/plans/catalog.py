@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetlake.functions import boxes, calendar, quality
+from facetlake.functions import boxes, calendar, quality, zero_shot
 from facetlake.functions.vectors import blended, cosine
 from facetlake.operators import albums, classify, clusters, jobs, search, stores, workspace
 from facetlake.sources.tables import table
@@ -607,6 +607,35 @@ def nearest_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.nearest_landmarks(rects, marks, "l_orderkey", 0.0451).select("l_orderkey", "rect_id", "mark_id")
 
 
+@query(
+    """WITH r AS (SELECT label AS cluster, vec_id AS photo, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings)
+    SELECT cluster, list(photo ORDER BY photo) FILTER (r <= 5) AS first, greatest(count(*) - 5, 0) AS more FROM r GROUP BY cluster"""
+)
+def plan_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("photo"), F.col("label").alias("cluster"))
+    return workspace.preview(members)
+
+
+@query(
+    """WITH e AS (SELECT vec_id, list_transform(embedding[1:8]::DOUBLE[], lambda x: exp(x)) AS e FROM embeddings)
+    SELECT vec_id, round(unnest(e) / list_sum(e), 6) AS p, generate_subscripts(e, 1) - 1 AS pos FROM e"""
+)
+def label_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = zero_shot.softmax(F.slice("embedding", 1, 8).cast("array<double>"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(made).alias("pos", "v")).select("vec_id", "pos", F.round("v", 6).alias("p"))
+
+
+@query(
+    """WITH m AS (SELECT l_orderkey AS photo, l_linenumber AS cluster, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) = 1 AS is_primary FROM lineitem)
+    SELECT photo, cluster FROM m WHERE is_primary AND cluster IN (1, 2, 3)"""
+)
+def primary_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("photo"), F.col("l_linenumber").alias("cluster"), "l_extendedprice")
+    order = Window.partitionBy("photo").orderBy(F.desc("l_extendedprice"), "cluster")
+    faces = rows.withColumn("is_primary", F.row_number().over(order) == 1)
+    return workspace.export_members(rows.select("photo", "cluster").distinct(), faces, "primary", [1, 2, 3])
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -289,3 +289,28 @@ def test_numbers_in_order(spark):
     got = numbered_in_order(rows, ["id"], "n")
     assert got.where("id <> n").count() == 0 and got.count() == 500
     assert numbered_in_order(rows.limit(0), ["id"], "n").count() == 0
+
+
+def test_export_preview_and_names(spark):
+    m = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", -1), *[(f"p{i}", 3) for i in range(7)]], "photo string, cluster int")
+    f = spark.createDataFrame([("a", 2, True), ("a", 1, False), ("b", 1, True)], "photo string, cluster int, is_primary boolean")
+    assert {tuple(r) for r in workspace.export_members(m, f, "primary").collect()} == {("a", 2), ("b", 1)}
+    assert workspace.export_members(m, f, "all", [1]).count() == 2
+    rows = {r.cluster: r for r in workspace.preview(m).collect()}
+    assert rows[3].first == [f"p{i}" for i in range(5)] and rows[3].more == 2 and rows[1].more == 0
+    assert workspace.rename_operations({1: "x", 2: "y"}, 2, "x") == ({1: "x"}, [{"kind": "merge", "from": 2, "to": 1}])
+    assert workspace.rename_operations({1: "x"}, 2, "")[0] == {1: "x", 2: ""}
+    c = spark.createDataFrame([(1, 0.12345)], "cluster int, confidence double")
+    assert '{"cluster":1,"photos":2,"cover":"a","confidence":0.123}' in {r.json for r in workspace.summary(m, c).collect()}
+
+
+def test_zero_shot(spark):
+    from facetlake.functions import zero_shot
+
+    scores = F.array(F.lit(1.0), F.lit(1.0), F.lit(0.0))
+    scored = F.array(*[F.struct(F.lit(n).alias("label"), F.lit(s).alias("score")) for n, s in (("b", 0.5), ("a", 0.5), ("c", 0.9))])
+    got = one(spark, zero_shot.softmax(scores), zero_shot.best_labels(scored, 2), zero_shot.short_label(F.lit("a photo of a dog")))
+    assert sum(got[0]) == pytest.approx(1) and got[0][0] == pytest.approx(math.e / (2 * math.e + 1))
+    assert [r["label"] for r in got[1]] == ["c", "a"] and got[2] == "dog"
+    tags = one(spark, zero_shot.first_seen_union(F.array(F.lit("x"), F.lit("y")), F.lit(None).cast("array<string>"), F.array(F.lit("y"), F.lit("z"))))[0]
+    assert tags == ["x", "y", "z"]
