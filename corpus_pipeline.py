@@ -2,7 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of
 ``documents``; their results are written as Parquet and read again. Null or empty
-texts are rows like others: they are scored, deduplicated and encoded.
+texts are rows like others: they are scored, deduplicated and encoded. Rows that
+repeat an id stay or go together; a row without an id cannot be named by the
+stages that keep one document of a group, which drop it. Further columns of the
+input are not carried on.
 """
 
 from __future__ import annotations

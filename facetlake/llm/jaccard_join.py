@@ -291,8 +291,9 @@ def _filter(keys: DataFrame, key: str, rows: int) -> tuple[np.ndarray, int]:
 def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets link, compared exactly.
 
-    Sets are made again from the texts of the nodes in question. A bitmap of their
-    ids lets the scan pass few other rows; the join on ids drops those.
+    Sets are made again from the texts of the nodes in question. A bitmap of the
+    ids of one row for each node lets the scan pass few other rows; the join on
+    fingerprints drops those.
     """
     spark = docs.sparkSession
     wanted = stored(
@@ -306,13 +307,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, width: int, n
         for batch in batches:
             place = batch.column(2).to_numpy()
             mine = batch.filter(pa.array((sent.value[place >> 6] >> (place & 63)) & 1 == 1))
-            for row, end, data, offsets in chunks(mine.column(1)):
-                own = [s.tobytes() for s in shingle_sets(data, offsets, width)]
-                yield pa.RecordBatch.from_arrays([mine.column(0).slice(row, end - row), pa.array(own, pa.binary())], names=["_id", "own"])
+            for _, _, data, offsets in chunks(mine.column(1)):
+                own = [s for s in shingle_sets(data, offsets, width) if len(s)]
+                fp = pa.array([_fingerprint(s) for s in own], pa.int64())
+                yield pa.RecordBatch.from_arrays([fp, pa.array([s.tobytes() for s in own], pa.binary())], names=["fp", "own"])
 
-    kind = docs.schema["_id"].dataType.simpleString()
-    made = docs.withColumn("p", F.shiftrightunsigned(F.xxhash64("_id"), 64 - bits)).mapInArrow(sets, f"_id {kind}, own binary")
-    made = made.join(wanted, "_id").select("fp", "own")
+    made = docs.withColumn("p", F.shiftrightunsigned(F.xxhash64("_id"), 64 - bits)).mapInArrow(sets, "fp long, own binary")
     joined = (
         pairs.join(made.select(F.col("fp").alias("a"), F.col("own").alias("sa")), "a").join(made.select(F.col("fp").alias("b"), F.col("own").alias("sb")), "b")
     )
@@ -338,8 +338,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     Words are what blanks ``[\\x20\\x09-\\x0D]`` part, A-Z lower-cased. Rows without
     words, null texts among them, have no shingles and are their own component. The
     component's id is the smallest id of its rows. Shingles and sets are told apart
-    by 64-bit hashes. Ids must not be null or repeat: they name the rows. Other
-    columns are not read; an empty table gives an empty result.
+    by 64-bit hashes. Rows that repeat an id, or have none, link by their own texts;
+    a component is named by the smallest id present in it, and has a null one only if
+    all its ids are null. Other columns are not read; an empty table gives an empty
+    result.
     """
     if not 0 < num <= den:
         raise ValueError("the threshold must lie above 0 and not above 1")

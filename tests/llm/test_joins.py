@@ -134,6 +134,13 @@ def test_jaccard_empty(spark):
     assert [r.component_id for r in jaccard_components(docs(spark, [None, ""])).orderBy("doc_id").collect()] == [0, 1]
 
 
+def test_jaccard_repeated_and_missing_ids(spark):
+    a, b = "one two three four five six seven", "alpha beta gamma delta epsilon zeta"
+    rows = [(5, a), (5, b), (3, a + " "), (None, b.upper()), (None, "some other words stand here now"), (3, a + " ")]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 5), (3, 3), (3, 3), (5, 3), (5, 5)]
+
+
 # -- decontamination --------------------------------------------------------------
 
 
