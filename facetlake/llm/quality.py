@@ -30,6 +30,10 @@ SHAPE = np.arange(256).astype(np.uint8)
 SHAPE[65:91], SHAPE[97:123], SHAPE[128:], SHAPE[48:58] = 1, 2, 2, 3
 
 
+#: Rows that a model is fitted on, about.
+MAX_ROWS = 6_000
+
+
 @dataclass
 class QualityModel:
     bits: int
@@ -93,13 +97,19 @@ def _ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], weights: np.ndarray, b
     return w[:-1], float(w[-1])
 
 
+def sample_rows(rows: DataFrame, id_col: str = "doc_id", max_rows: int = MAX_ROWS) -> DataFrame:
+    """About ``max_rows`` rows, chosen by the hash of their id; all of them if there are no more."""
+    share = min(1.0, max_rows / max(rows.count(), 1))
+    return rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("quality")), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
 def train(
     labelled: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
     bits: int = 18,
-    max_rows: int = 6_000,
+    max_rows: int | None = MAX_ROWS,
     parts: int = 4,
     rounds: int = 2,
     alpha: float = 5.0,
@@ -111,13 +121,13 @@ def train(
     """Fits the model on rows of (id, text, label 0 or 1).
 
     Rows with a null label are not used; null texts are empty. ``max_rows`` bounds
-    the sample. Without a row the model scores every text 0.5.
+    the sample; None says that the rows are a sample already. Without a row the
+    model scores every text 0.5.
     """
     spark = labelled.sparkSession
     rows = labelled.where(F.col(label_col).isNotNull())
-    total = rows.count()
-    share = min(1.0, max_rows / max(total, 1))
-    pick = F.pmod(F.xxhash64(F.col(id_col), F.lit("quality")), F.lit(1_000_000)) < int(share * 1_000_000)
+    if max_rows is not None:
+        rows = sample_rows(rows, id_col, max_rows)
     part = F.pmod(F.xxhash64(F.col(id_col), F.lit("part")), F.lit(parts)).cast("int")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,8 +146,7 @@ def train(
                 )
 
     vector = (
-        rows.where(pick)
-        .select(part.alias("part"), F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").alias("text"))
+        rows.select(part.alias("part"), F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").alias("text"))
         .mapInArrow(vectors, "part int, label int, place array<int>, value array<float>")
     )
     vector = stored(vector, "vectors")
