@@ -110,7 +110,7 @@ def train(
     label_col: str = "quality",
     bits: int = 18,
     max_rows: int | None = MAX_ROWS,
-    parts: int = 4,
+    rows_per_part: int = 400,
     rounds: int = 2,
     alpha: float = 5.0,
     beta: float = 1.0,
@@ -121,14 +121,13 @@ def train(
     """Fits the model on rows of (id, text, label 0 or 1).
 
     Rows with a null label are not used; null texts are empty. ``max_rows`` bounds
-    the sample; None says that the rows are a sample already. Without a row the
-    model scores every text 0.5.
+    the sample; None says that the rows are a sample already. ``rows_per_part`` rows
+    are fitted in a task. Without a row the model scores every text 0.5.
     """
     spark = labelled.sparkSession
     rows = labelled.where(F.col(label_col).isNotNull())
     if max_rows is not None:
         rows = sample_rows(rows, id_col, max_rows)
-    part = F.pmod(F.xxhash64(F.col(id_col), F.lit("part")), F.lit(parts)).cast("int")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,14 +141,16 @@ def train(
                         pa.ListArray.from_arrays(pa.array(cut), pa.array(place.astype(np.int32))),
                         pa.ListArray.from_arrays(pa.array(cut), pa.array(value.astype(np.float32))),
                     ],
-                    names=["part", "label", "place", "value"],
+                    names=["key", "label", "place", "value"],
                 )
 
     vector = (
-        rows.select(part.alias("part"), F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(vectors, "part int, label int, place array<int>, value array<float>")
+        rows.select(F.xxhash64(F.col(id_col), F.lit("part")).alias("key"), F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").alias("text"))
+        .mapInArrow(vectors, "key long, label int, place array<int>, value array<float>")
     )
     vector = stored(vector, "vectors")
+    parts = max(1, vector.count() // rows_per_part)
+    vector = vector.withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
     weights, bias = np.zeros(1 << bits), 0.0
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((weights, bias))

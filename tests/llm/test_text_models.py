@@ -74,7 +74,7 @@ def test_quality_held_out_and_edges(spark):
     bad = [" ".join(w + rnd.choice(["!!", "%%%", " |"]) for w in t.split()) for t in sentences(EN, 150, rnd)]
     rows = [(i, t, 1) for i, t in enumerate(good)] + [(1000 + i, t, 0) for i, t in enumerate(bad)] + [(5000, "x", None), (5001, None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
-    model = quality.train(df.where("doc_id % 5 <> 0"), parts=2)
+    model = quality.train(df.where("doc_id % 5 <> 0"), rows_per_part=120)
     held = df.where("doc_id % 5 = 0 and quality is not null")
     got = {r.doc_id: r for r in quality.score_quality(held, model).collect()}
     right = [got[r[0]].predicted == r[2] for r in rows if r[0] in got]
@@ -83,7 +83,7 @@ def test_quality_held_out_and_edges(spark):
     scores = quality.score_quality(edge, model).collect()
     assert len(scores) == 4 and all(0 <= r.score <= 1 for r in scores)
     assert quality.keep_good(edge, model).columns == ["doc_id", "text", "score"]
-    same = quality.train(df.where("doc_id % 5 <> 0"), parts=2)
+    same = quality.train(df.where("doc_id % 5 <> 0"), rows_per_part=120)
     assert np.allclose(same.weights, model.weights)
 
 
