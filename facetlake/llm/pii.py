@@ -236,9 +236,11 @@ def find_pii(
     patterns.unpersist()
     scored = found.withColumn("score", _linear(weights)).where(F.col("strict") | (F.col("score") >= threshold))
     # A looser span goes if a strict one overlaps it: ends before it and starts after it tell.
-    doc = Window.partitionBy("_id", "_th").orderBy("start", "end")
-    before = F.max(F.when(F.col("strict"), F.col("end"))).over(doc.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(F.col("strict"), F.col("start"))).over(doc.rowsBetween(0, Window.unboundedFollowing))
+    # Both look back, in either order, since a frame that looks ahead is summed anew for every row.
+    doc = Window.partitionBy("_id", "_th")
+    forth, back = (doc.orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in (["start", "end"], [F.desc("start"), F.desc("end")]))
+    before = F.max(F.when(F.col("strict"), F.col("end"))).over(forth)
+    after = F.min(F.when(F.col("strict"), F.col("start"))).over(back)
     clear = (F.coalesce(before, F.lit(-1)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
     return (
         scored.withColumn("clear", clear)

@@ -57,7 +57,10 @@ def test_edges(spark):
 
 
 def test_long_texts(spark):
-    check(spark, ["a" * 200_000, "1" * 100_000, "1 " * 60_000, "a." * 60_000 + "@" + "b." * 30_000, "1." * 60_000, "+1" * 20_000, "x@y.z " * 3000])
+    long = lambda n: ["a" * 20 * n, "1" * 10 * n, "1 " * 6 * n, "a." * 6 * n + "@" + "b." * 3 * n, "1." * 6 * n, "+1" * 2 * n, "x@y.z " * n]
+    check(spark, long(300))  # the plain patterns need the square of these sizes
+    rows = pii_report(spark.createDataFrame(list(enumerate(long(10_000))), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_email for r in rows] == [0, 0, 0, 1, 0, 0, 10_000] and rows[4].n_ip == 15_000
 
 
 def test_random(spark):
