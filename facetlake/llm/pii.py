@@ -1,4 +1,4 @@
-"""Personal data by weak supervision, in DataFrame functions only.
+"""Personal data by weak supervision; texts and candidates see DataFrame functions only.
 
 Candidates are regex hits: four strict kinds (email, ip, card, phone, each with
 its own check) and looser forms of emails and phones. Four labelers vote on each
@@ -7,8 +7,9 @@ codes), the words before it, and its borders. They vote yes, no or abstain.
 
 Expectation-maximisation over the counts of vote patterns estimates, for each
 kind, how reliable every labeler is. The patterns' posteriors are then the soft
-labels of a logistic span classifier. Only sums by kind come to the driver: the
-number of patterns is bounded by kinds and labelers, not by the documents.
+labels of a logistic span classifier. Both run until their parameters stop moving.
+Only the table of patterns and their counts comes to the driver, once: it has at
+most 96 rows (kinds and votes), however many the documents.
 
 A strict hit is always a span. The classifier decides on the looser candidates,
 and one that overlaps a strict span is dropped.
@@ -16,7 +17,10 @@ and one that overlaps a strict span is dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import stored
@@ -46,6 +50,8 @@ CUES = {
 }
 DOMAINS = ["com", "org", "net", "edu", "gov", "io", "info", "biz", "de", "fr", "es", "uk", "us", "eu", "it", "nl", "ch", "at"]
 VOTES = ["rule", "gazetteer", "context", "border"]
+#: Parameters stand still when none moves by more than this in a round; no end is found beyond so many rounds.
+STILL, MOST_ROUNDS = 1e-9, 100_000
 
 
 def _hits(text: Column, pattern: str) -> Column:
@@ -151,48 +157,57 @@ def _votes(found: DataFrame) -> DataFrame:
     )
 
 
-def _posterior(model: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Adds ``q``, the chance that a candidate with these votes is a true span.
+def _odds(model: dict, row: dict) -> float:
+    """The log odds that a candidate with these votes is a true span.
 
-    ``model`` has one row for each of the four kinds: the share of true spans, and
-    for each labeler the chance of a yes on a true (_t) and on a false (_f) span.
+    ``model`` has the share of true spans, and for each labeler the chance of a yes
+    on a true (_t) and on a false (_f) span.
     """
-    odds = F.log(F.col("share") / (1 - F.col("share")))
+    total = math.log(model["share"] / (1 - model["share"]))
     for v in VOTES:
-        yes, no = F.col(f"{v}_t") / F.col(f"{v}_f"), (1 - F.col(f"{v}_t")) / (1 - F.col(f"{v}_f"))
-        odds = odds + F.coalesce(F.log(F.when(F.col(v) == 1, yes).when(F.col(v) == 0, no)), F.lit(0.0))
-    rows = patterns.join(F.broadcast(model), "kind")
-    return rows.select(*patterns.columns, (1 / (1 + F.exp(-odds))).alias("q"))
+        if row[v] is not None:
+            t, f = model[f"{v}_t"], model[f"{v}_f"]
+            total += math.log(t / f) if row[v] == 1 else math.log((1 - t) / (1 - f))
+    return total
 
 
-def _model(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    """The four kinds' parameters as a table of literals."""
-    names = ["share", *[f"{v}_{side}" for v in VOTES for side in "tf"]]
-    values = ", ".join(f"('{r['kind']}', " + ", ".join(f"{r[n]!r}D" for n in names) + ")" for r in rows)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t(kind, {', '.join(names)})")
+def _chance(odds: float) -> float:
+    """The logistic function, without overflow."""
+    return 1 / (1 + math.exp(-odds)) if odds >= 0 else math.exp(odds) / (1 + math.exp(odds))
 
 
-def _reliabilities(patterns: DataFrame, rounds: int) -> DataFrame:
-    """Expectation-maximisation over vote patterns with counts ``n``.
+def _round(model: dict, rows: list[dict]) -> dict:
+    """One round of expectation-maximisation over one kind's patterns.
 
-    Counts are smoothed by a weak prior, which says that labelers are better than
-    chance. A round gathers one row for each kind.
+    Counts are smoothed by a weak prior, which says that labelers are better than chance.
     """
-    start = {"share": 0.7} | {f"{v}_t": 0.8 for v in VOTES} | {f"{v}_f": 0.3 for v in VOTES}
-    now = {k: {"kind": k} | start for k in KINDS}
-    n, q = F.col("n"), F.col("q")
-    sums = [F.sum(n).alias("n"), F.sum(n * q).alias("q")]
+    weighed = [(r, r["n"] * (q := _chance(_odds(model, r))), r["n"] * (1 - q)) for r in rows]
+    true, false = (math.fsum(w[i] for w in weighed) for i in (1, 2))
+    made = {"share": (true + 7) / (true + false + 10)}
     for v in VOTES:
-        for name, weight in (("t", n * q), ("f", n * (1 - q))):
-            sums.append(F.sum(F.when(F.col(v).isNotNull(), weight)).alias(f"{v}_{name}"))
-            sums.append(F.sum(F.when(F.col(v) == 1, weight)).alias(f"{v}_yes_{name}"))
-    for _ in range(rounds):
-        for r in _posterior(_model(patterns.sparkSession, list(now.values())), patterns).groupBy("kind").agg(*sums).collect():
-            now[r["kind"]] = {"kind": r["kind"], "share": (r["q"] + 7) / (r["n"] + 10)}
-            for v in VOTES:
-                for name, prior in (("t", 8), ("f", 3)):
-                    now[r["kind"]][f"{v}_{name}"] = ((r[f"{v}_yes_{name}"] or 0) + prior) / ((r[f"{v}_{name}"] or 0) + 10)
-    return _model(patterns.sparkSession, list(now.values()))
+        for name, i, prior in (("t", 1, 8), ("f", 2, 3)):
+            voted = math.fsum(w[i] for w in weighed if w[0][v] is not None)
+            made[f"{v}_{name}"] = (math.fsum(w[i] for w in weighed if w[0][v] == 1) + prior) / (voted + 10)
+    return made
+
+
+def _reliabilities(patterns: list[dict], rounds: int) -> dict[str, dict]:
+    """Each kind's parameters by expectation-maximisation over vote patterns with counts ``n``.
+
+    At least ``rounds`` rounds, and then until no parameter moves by more than ``STILL``.
+    """
+    found = {}
+    for kind in KINDS:
+        rows = [r for r in patterns if r["kind"] == kind]
+        now = {"share": 0.7} | {f"{v}_t": 0.8 for v in VOTES} | {f"{v}_f": 0.3 for v in VOTES}
+        for done in range(1, MOST_ROUNDS + 1):
+            then, now = now, _round(now, rows)
+            if done >= rounds and max(abs(now[k] - then[k]) for k in now) <= STILL:
+                break
+        else:
+            raise ArithmeticError(f"the reliabilities of {kind} still move after {MOST_ROUNDS} rounds")
+        found[kind] = now
+    return found
 
 
 def _features() -> list[Column]:
@@ -208,32 +223,47 @@ def _linear(weights: list[float]) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def _train(patterns: DataFrame, steps: int, rate: float = 2.0) -> list[float]:
-    """Logistic regression on soft labels ``q`` with counts ``n``; gradient sums alone are gathered."""
-    weights = [0.0] * (len(KINDS) + len(VOTES))
-    for _ in range(steps):
-        error = F.col("n") * (F.col("q") - _linear(weights))
-        row = patterns.agg(F.sum("n").alias("n"), *[F.sum(error * x).alias(f"g{i}") for i, x in enumerate(_features())]).first()
-        if not row["n"]:
-            break
-        weights = [w + rate * row[f"g{i}"] / row["n"] for i, w in enumerate(weights)]
-    return weights
+def _train(patterns: list[dict], q: list[float], steps: int) -> list[float]:
+    """Logistic regression on soft labels ``q`` with counts ``n``.
+
+    At least ``steps`` steps of Newton's method, halved while the loss grows, and then
+    until no weight moves by more than ``STILL``. Where inputs say the same, the
+    shortest of the equal solutions is taken.
+    """
+    x = np.array([[float(r["kind"] == k) for k in KINDS] + [{1: 1.0, 0: -1.0}.get(r[v], 0.0) for v in VOTES] for r in patterns])
+    weights = np.zeros(len(KINDS) + len(VOTES))
+    if not len(patterns):
+        return weights.tolist()
+    n, q = np.array([float(r["n"]) for r in patterns]), np.array(q)
+    n /= n.sum()
+    loss = lambda w: float((n * (np.logaddexp(0, x @ w) - q * (x @ w))).sum())
+    for done in range(1, MOST_ROUNDS + 1):
+        p = np.exp(-np.logaddexp(0, -(x @ weights)))
+        move = np.linalg.lstsq((x.T * (n * p * (1 - p))) @ x, x.T @ (n * (q - p)), rcond=1e-12)[0]
+        before = loss(weights)
+        while loss(weights + move) > before and np.abs(move).max() > STILL:
+            move /= 2
+        weights = weights + move
+        if done >= steps and np.abs(move).max() <= STILL:
+            return weights.tolist()
+    raise ArithmeticError(f"the span classifier's weights still move after {MOST_ROUNDS} steps")
 
 
 def find_pii(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", em_rounds: int = 5, train_steps: int = 8, threshold: float = 0.5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", em_rounds: int = 6, train_steps: int = 8, threshold: float = 0.5
 ) -> DataFrame:
     """Spans of personal data: (_id, _th, kind, start, end, hit, strict, score).
 
     Null texts count as empty and have no spans. Several kinds may overlap. Rows
     that repeat both id and text give their spans once; a null id is an id. Columns of ``docs`` other
     than the two named are not read. No candidates at all give an empty result.
+    ``em_rounds`` and ``train_steps`` are the fewest; both go on until nothing moves.
     """
     found = stored(_votes(candidates(docs, id_col, text_col)), "pii")
-    patterns = found.groupBy("kind", *VOTES).agg(F.count("*").alias("n")).cache()
+    # One small table, in one order, whatever the documents: 4 kinds, and two or three votes of each labeler.
+    patterns = [r.asDict() for r in found.groupBy("kind", *VOTES).agg(F.count("*").alias("n")).orderBy("kind", *VOTES).collect()]
     model = _reliabilities(patterns, em_rounds)
-    weights = _train(_posterior(model, patterns), train_steps)
-    patterns.unpersist()
+    weights = _train(patterns, [_chance(_odds(model[r["kind"]], r)) for r in patterns], train_steps)
     scored = found.withColumn("score", _linear(weights)).where(F.col("strict") | (F.col("score") >= threshold))
     # A looser span goes if a strict one overlaps it: ends before it and starts after it tell.
     # Both look back, in either order, since a frame that looks ahead is summed anew for every row.
