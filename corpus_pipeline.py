@@ -2,15 +2,15 @@
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of
 ``documents``; their results are written as Parquet and read again. Null or empty
-texts are rows like others: they are scored, deduplicated and encoded. Rows that
-repeat an id stay or go together; a row without an id cannot be named by the
-stages that keep one document of a group, which drop it. Further columns of the
-input are not carried on.
+texts are rows like others: they are scored, deduplicated and encoded. The stages
+that keep one row of a group name rows by a key of their own, so ids may repeat or
+be missing. Further columns of the input are not carried on.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from facetlake.llm import catalog, decontaminate, quality
 from facetlake.llm.exact_dedup import exact_dedup
@@ -21,9 +21,15 @@ from facetlake.llm.storage import stored
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with these ids; ids grow with the table, so they are not broadcast."""
-    return docs.join(ids.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Every row with a key of its own, stored so that it stays: by id, missing ones last, then by place."""
+    rows = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "keyed")
+    return rows.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_row"))
+
+
+def _keep(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with these keys; keys grow with the table, so they are not broadcast."""
+    return docs.join(keys.select(F.col("_key._row").alias("_row")).hint("merge"), "_row", "left_semi").select(*COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +38,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays."""
-    return _keep(docs, exact_dedup(docs).where("kept"))
+    """Of equal texts one row stays, of the smallest id."""
+    docs = _keyed(docs)
+    return _keep(docs, exact_dedup(docs, id_col="_key").where("kept"))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates (five words, 0.8) the smallest id stays."""
-    return _keep(docs, jaccard_components(docs, width=5, num=80, den=100).where("doc_id = component_id"))
+    """Of each component of near-duplicates (five words, 0.8) one row stays, of the smallest id."""
+    docs = _keyed(docs)
+    return _keep(docs, jaccard_components(docs, width=5, num=80, den=100, id_col="_key").where("_key = component_id"))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
