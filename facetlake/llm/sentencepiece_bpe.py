@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import chunks, run_hashes
+from .textarrays import chunks, distinct_runs
 
 SPACE = "▁"
 NO_RANK = np.int64(1) << 60
@@ -33,6 +33,8 @@ class Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        if [model.normalize(t) for t in ("\ufb01  A\u0301\t", " x ")] != [f"{SPACE}\ufb01{SPACE * 2}A\u0301\t", f"{SPACE * 2}x{SPACE}"]:
+            raise ValueError("the model changes characters or blanks before it cuts them")
         size = model.vocab_size()
         self.bos, self.eos, self.unk = model.bos_id(), model.eos_id(), model.unk_id()
         special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i) for i in range(size)]
@@ -177,7 +179,7 @@ class Vocabulary:
         fresh[1:] &= ~blank[:-1]
         fresh[shifted[:-1][shifted[:-1] < len(text)]] = True
         starts = np.flatnonzero(fresh)
-        _, first, which = np.unique(run_hashes(text, starts), return_index=True, return_inverse=True)
+        first, which = distinct_runs(text, starts)
         ends = np.append(starts[1:], len(text))
         # The distinct segments end to end, as code points.
         lens = (ends - starts)[first]
@@ -197,20 +199,28 @@ class Vocabulary:
 
     # -- decoding ---------------------------------------------------------------
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """UTF-8 of the text that ids stand for; begin and end give nothing, the first space goes."""
-        ids = ids[(ids != self.bos) & (ids != self.eos)]
-        if not len(ids):
-            return b""
+    def decode_rows(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """UTF-8 of the text that each row's ids stand for; ``bounds`` are the rows' places in ``ids``.
+
+        Begin and end give nothing, the first space of a row goes, and runs of byte pieces
+        that are no UTF-8 become replacement signs.
+        """
         lens = (self.raw_ends - self.raw_starts)[ids]
-        stop = np.cumsum(lens)
-        at = np.repeat(self.raw_starts[ids] - (stop - lens), lens) + np.arange(stop[-1])
+        stop = np.concatenate([[0], np.cumsum(lens)])
+        at = np.repeat(self.raw_starts[ids] - stop[:-1], lens) + np.arange(stop[-1])
         raw = self.raw[at].tobytes()
-        if raw[:1] == b" " and not self.is_byte[ids[0]]:
-            raw = raw[1:]
-        if self.is_byte[ids].any():
-            raw = raw.decode("utf-8", "replace").encode("utf-8")
-        return raw
+        spelt = np.concatenate([[0], np.cumsum(self.is_byte[ids])])
+        told = np.flatnonzero(lens > 0)  # pieces that say something
+        first = np.searchsorted(told, bounds[:-1])
+        out = []
+        for a, b, k in zip(bounds[:-1].tolist(), bounds[1:].tolist(), first.tolist(), strict=True):
+            own = raw[stop[a] : stop[b]]
+            if own[:1] == b" " and not self.is_byte[ids[told[k]]]:
+                own = own[1:]
+            if spelt[b] > spelt[a]:
+                own = own.decode("utf-8", "replace").encode("utf-8")
+            out.append(own)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -235,22 +245,21 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         for batch in batches:
             for row, end, data, offsets in chunks(batch.column(1), 2 << 20):
                 ids, bounds = vocab.encode_chunk(data, offsets)
-                counts, id_hex, text_hex, kept, texts = [], [], [], [], []
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    own = np.empty(b - a + 2, "<u4")
-                    own[0], own[-1] = vocab.bos, vocab.eos
-                    own[1:-1] = ids[a:b]
-                    decoded = vocab.decode(own.astype(np.int64))
-                    counts.append(len(own))
-                    id_hex.append(hashlib.sha256(own.tobytes()).hexdigest())
-                    text_hex.append(hashlib.sha256(decoded).hexdigest())
-                    if keep_ids:
-                        kept.append(own.astype(np.int32))
-                        texts.append(decoded.decode())
+                # Begin and end around every row's ids, end to end.
+                rows = np.arange(end - row)
+                full = bounds + 2 * np.arange(len(bounds))
+                own = np.empty(full[-1], np.int64)
+                inner = np.ones(len(own), bool)
+                inner[full[:-1]] = inner[full[1:] - 1] = False
+                own[inner], own[full[:-1]], own[full[1:] - 1] = ids, vocab.bos, vocab.eos
+                counts, raw, cut = np.diff(full), own.astype("<u4").tobytes(), (4 * full).tolist()
+                decoded = vocab.decode_rows(own, full)
+                id_hex = [hashlib.sha256(raw[cut[i] : cut[i + 1]]).hexdigest() for i in rows.tolist()]
+                text_hex = [hashlib.sha256(t).hexdigest() for t in decoded]
                 out = [batch.column(0).slice(row, end - row), pa.array(counts, pa.int64()), pa.array(id_hex, pa.string()), pa.array(text_hex, pa.string())]
                 names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    out += [pa.array(kept, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+                    out += [pa.ListArray.from_arrays(pa.array(full.astype(np.int32)), pa.array(own.astype(np.int32))), pa.array([t.decode() for t in decoded], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(out, names=names)
 

@@ -6,6 +6,7 @@ depends on ``MAX_BYTES`` or on one text, whichever is larger.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MAX_BYTES = 1 << 20
-#: An odd multiplier of the polynomial word hash, and mixing constants (fixed values).
+#: Runs of more bytes are hashed by the standard library.
+LONG_RUN = 512
+#: An odd multiplier for the places of a sequence, and mixing constants (fixed values).
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
@@ -65,14 +68,66 @@ def token_starts(classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each run; runs cover ``data``."""
+    """A 64-bit hash of the bytes of each run; runs cover ``data``.
+
+    Eight bytes at a time are mixed into the state, which starts from the length. Each step
+    is a bijection, so runs of one length up to eight bytes never clash; others do by chance
+    alone. Where equality decides a result, callers compare the bytes (``same_runs``).
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = np.diff(np.append(starts, len(data)))
-    place = np.arange(len(data)) - np.repeat(starts, lengths)
-    weights = powers(int(lengths.max()))[place]
-    weights *= data.astype(np.uint64) + np.uint64(1)
-    return mixed(np.add.reduceat(weights, starts))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    state = mixed(lengths.astype(np.uint64) * BASE)
+    done, alive = 0, np.flatnonzero(lengths <= LONG_RUN)
+    while len(alive):
+        left = lengths[alive] - done
+        mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(left, 8)) * 8).astype(np.uint64)
+        state[alive] = mixed((state[alive] ^ (eights[starts[alive] + done] & mask)) * BASE)
+        done += 8
+        alive = alive[left > 8]
+    for i in np.flatnonzero(lengths > LONG_RUN).tolist():
+        run = data[starts[i] : starts[i] + lengths[i]].tobytes()
+        state[i] = int.from_bytes(hashlib.blake2b(run, digest_size=8).digest(), "little")
+    return state
+
+
+def same_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether run i holds the same bytes as run ``first[i]``."""
+    lengths = ends - starts
+    same = lengths == lengths[first]
+    told = np.flatnonzero(same & (first != np.arange(len(first))) & (lengths > 0))
+    if len(told):
+        sizes = lengths[told]
+        stop = np.cumsum(sizes)
+        place = np.arange(stop[-1]) - np.repeat(stop - sizes, sizes)
+        equal = data[np.repeat(starts[told], sizes) + place] == data[np.repeat(starts[first[told]], sizes) + place]
+        same[told] = np.logical_and.reduceat(equal, stop - sizes)
+    return same
+
+
+def distinct_runs(data: np.ndarray, starts: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """One run for each distinct content, and for each run the place of its content in that list.
+
+    Equal hashes only say which runs to compare: bytes decide. Runs cover ``data``.
+    """
+    ends = np.append(starts[1:], len(data))[: len(starts)]
+    hashes = run_hashes(data, starts) if hashes is None else hashes
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    odd = np.flatnonzero(~same_runs(data, starts, ends, first[which]))
+    if len(odd):  # clashes: told apart by their bytes
+        more: dict[bytes, int] = {}
+        which = which.copy()
+        heads = first.tolist()
+        for i in odd.tolist():
+            run = data[starts[i] : ends[i]].tobytes()
+            if run not in more:
+                more[run] = len(heads)
+                heads.append(i)
+            which[i] = more[run]
+        first = np.array(heads)
+    return first, which
 
 
 #: 1 for bytes of words ``[^\x20\x09-\x0D]``, 0 for blanks.
