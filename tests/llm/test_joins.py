@@ -70,6 +70,27 @@ def test_exact_dedup(spark):
     assert len(again) == 3 and all(r.kept for r in again)
 
 
+@pytest.mark.parametrize("bits", [0, 2])
+def test_exact_dedup_under_clashes(spark, bits):
+    """One or four hashes for all texts: bytes alone tell them apart."""
+    texts = [f"text {i % 40}" + " " * (1 + i % 3) + "end" for i in range(200)] + [None, "", "alone"]
+    got = {r.doc_id: r for r in exact_dedup(docs(spark, texts), capacity=2, key_bits=bits).collect()}
+    norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in texts]
+    assert len(got) == len(texts)
+    for i, t in enumerate(norm):
+        same = [j for j, u in enumerate(norm) if u == t]
+        assert (got[i].keep_id, got[i].group_size) == (min(same), len(same))
+
+
+def test_unique_texts_stay_in_the_scan(spark):
+    """What goes past the bitmap is what has copies."""
+    from facetlake.llm.filters import flagged
+
+    rows = spark.range(5000).selectExpr("id", "xxhash64(id) as key")
+    told = flagged(rows, rows.key, rows.where("id < 50"), "key", "hit").where("hit").select("id").collect()
+    assert {r.id for r in told} >= set(range(50)) and len(told) < 60
+
+
 def test_directory_doubles(spark):
     keys = spark.range(3000).selectExpr("xxhash64(id) as key").unionByName(spark.range(500).selectExpr("id as key"))
     directory, depth = build_directory(keys, capacity=200, start_depth=2, max_depth=12)
