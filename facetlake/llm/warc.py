@@ -1,13 +1,15 @@
 """WARC archives with resolved revisits: deduplicate, write, and read back.
 
 Writing shuffles headers (id, digest, length) by payload digest and joins the
-pages to the original of their digest: one response record holds the payload,
-the others refer to it in revisit records with headers of their own. Spark's
-text writer makes the files: a WARC record ends with an empty line, so records
-are lines that end with ``\\r\\n\\r\\n``. ``records_per_file`` bounds the files.
+pages' headers to the original of their digest: one response record holds the payload,
+the others refer to it in revisit records with headers of their own. Payloads
+of pages without a copy never leave the scan, and of copies only the originals'
+move. Spark's text writer makes the files: a WARC record ends with an empty
+line, so records are lines that end with ``\\r\\n\\r\\n``. Files are bounded by
+bytes: records are written by size, fewer to a file the larger they are.
 
 Reading parses each file by its content lengths and joins revisit records to
-the responses that they refer to.
+the responses that they refer to, by record and digest.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .filters import flagged
 from .storage import stored
 
 VERSION = "WARC/1.1"
@@ -31,41 +34,67 @@ def _lines(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def _salt(of: Column, salts: int) -> Column:
+    return F.pmod(F.xxhash64(of), F.lit(salts)).cast("int")
+
+
+def _salted(rows: DataFrame, salts: int) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
 def resolve(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", min_bytes: int = 1000, salts: int = 16) -> DataFrame:
-    """(_id, _url, _payload, digest, bytes, refers_to): refers_to is null for responses.
+    """(_id, _url, _payload, digest, bytes, refers_to): refers_to is null for responses, _payload for revisits.
 
     Payloads count as equal by SHA-1 and length, from ``min_bytes`` on; the largest
-    id of equal ones is the original. Its digest may be on a third of all pages, so
-    digests are joined in ``salts`` parts; only their maxima meet before that.
+    id of equal ones is the original, and rows that repeat its id are responses as
+    well. A null id is the smallest. The digest may be on a third of all pages, so
+    it is joined in ``salts`` parts; only counts and maxima meet before that.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), payload.alias("_payload")).select(
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), payload.alias("_payload")).select(
         "*", F.sha1(F.col("_payload").cast("binary")).alias("digest"), F.octet_length("_payload").cast("long").alias("bytes")
     )
-    headers = rows.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.max("_id").alias("original"), F.count("*").alias("n"))
-    originals = headers.where("n > 1").select(
-        "digest", "bytes", "original", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    )
-    salt = F.pmod(F.xxhash64(F.col("_id")), F.lit(salts)).cast("int")
-    joined = rows.withColumn("salt", salt).join(originals.hint("merge"), ["digest", "bytes", "salt"], "left")
-    return joined.select(
-        "_id", "_url", "_payload", "digest", "bytes", F.when(~F.col("original").eqNullSafe(F.col("_id")), F.col("original")).alias("refers_to")
-    )
-
-
-def write_warc(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 5000) -> None:
-    """Gzipped WARC files under ``path``, one record for each row of ``resolve``."""
-    uri = F.coalesce(F.regexp_replace(F.col("_url").cast("string"), r"[\x00-\x20]", "%20"), F.lit("about:blank"))
-    record_id = lambda c: _lines(f"<{ID_PREFIX}", F.coalesce(c.cast("string"), F.lit("")), ">")
+    rows = rows.withColumn("_key", F.when(F.col("bytes") >= min_bytes, F.xxhash64("digest", "bytes")))
+    headers = rows.where(F.col("_key").isNotNull()).groupBy("digest", "bytes", "_key").agg(F.max("_id").alias("original"), F.count("*").alias("n"))
+    originals = stored(headers.where("n > 1").withColumn("_own", F.xxhash64("_key", "original")).drop("n"), "originals")
+    marked = flagged(rows, F.col("_key"), originals, "_key", "shared")
+    # Of pages with copies only the payload of those goes on that may be an original.
+    shared = flagged(marked.where("shared"), F.xxhash64("_key", "_id"), originals, "_own", "first")
+    moved = shared.withColumn("_payload", F.when(F.col("first"), F.col("_payload"))).withColumn("salt", _salt(F.struct("_id", "_url"), salts))
+    parts = _salted(originals.select("digest", "bytes", "original", F.lit(True).alias("known")), salts)
+    joined = moved.join(parts.hint("merge"), ["digest", "bytes", "salt"], "left")
+    copy = F.col("known").isNotNull() & ~F.col("original").eqNullSafe(F.col("_id"))
+    columns = ["_id", "_url", "_payload", "digest", "bytes", "refers_to"]
+    copies = joined.withColumn("refers_to", F.when(copy, F.col("original"))).withColumn("_payload", F.when(~copy, F.col("_payload")))
+    alone = marked.where("not shared").withColumn("refers_to", F.lit(None).cast(pages.schema[id_col].dataType))
+    return copies.select(*columns).unionByName(alone.select(*columns))
+
+
+#: Bytes that the blocks of a file may hold, one record larger than that excepted, and the sizes of record that files of their own hold.
+FILE_BYTES = 256 << 20
+SIZES = [1 << 16, 1 << 20, 1 << 24]
+
+
+def write_warc(resolved: DataFrame, path: str, date: str | None = None, file_bytes: int = FILE_BYTES, largest: int | None = None) -> None:
+    """Gzipped WARC files under ``path``, one record for each row of ``resolve``.
+
+    ``date`` is the moment of writing where it is not given. A record's name holds
+    its page's id and digest. ``largest`` bounds the payloads' bytes where that is known. Existing files are an error.
+    """
+    uri = F.coalesce(F.regexp_replace(F.col("_url"), r"[\x00-\x20]", "%20"), F.lit("about:blank"))
+    record_id = lambda c: _lines(f"<{ID_PREFIX}", F.coalesce(c.cast("string"), F.lit("")), ":", F.col("digest"), ">")
     http = _lines("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ", F.col("bytes").cast("string"), END)
     revisit = F.col("refers_to").isNotNull()
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("_payload")))
+    moment = F.lit(date) if date else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     header = _lines(
         f"{VERSION}\r\nWARC-Type: ",
         F.when(revisit, "revisit").otherwise("response"),
         "\r\nWARC-Record-ID: ",
         record_id(F.col("_id")),
-        f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: ",
+        "\r\nWARC-Date: ",
+        moment,
+        "\r\nWARC-Target-URI: ",
         uri,
         "\r\nWARC-Payload-Digest: sha1:",
         F.col("digest"),
@@ -74,13 +103,20 @@ def write_warc(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
         F.octet_length(block).cast("string"),
         END,
     )
-    (
-        resolved.select(F.concat(header, block).alias("value"))
-        .write.option("lineSep", END)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", records_per_file)
-        .text(path)
-    )
+    held = F.when(revisit, 0).otherwise(F.col("bytes"))
+    if largest is None:
+        largest = resolved.agg(F.max(held)).first()[0] or 0
+    low = -1
+    for high in [s for s in SIZES if s < largest] + [max(largest, SIZES[0])]:
+        (
+            resolved.where((held > low) & (held <= high))
+            .select(F.concat(header, block).alias("value"))
+            .write.option("lineSep", END)
+            .option("compression", "gzip")
+            .option("maxRecordsPerFile", max(1, file_bytes // (high + 2048)))
+            .text(path if low < 0 else f"{path}/above-{low}")
+        )
+        low = high
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -108,23 +144,32 @@ def _unzipped(data: bytes) -> bytes:
     return b"".join(out) + data
 
 
+def _name(value: str | None) -> tuple[str | None, str | None]:
+    """Id and digest in a record's name."""
+    if value is None:
+        return None, None
+    page, _, digest = value.strip("<>").removeprefix(ID_PREFIX).rpartition(":")
+    return page, digest
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, record_type, refers_to, url, payload) of all records under ``path``.
+    """(record_id, record_type, refers_to, digest, url, payload) of all records under ``path``.
 
-    Ids are those that ``write_warc`` gave, as strings. The payload is what follows
-    the HTTP header, in bytes; a revisit record has none (null).
+    Ids are those that ``write_warc`` gave, as strings; the digest is the one in the
+    header. The payload is what follows the HTTP header, in bytes; a revisit record
+    has none (null).
     """
+    names = ["record_id", "record_type", "refers_to", "digest", "url", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = lambda v: v.strip("<>").removeprefix(ID_PREFIX) if v is not None else None
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                records = parse(_unzipped(content.as_py()))
-                for h, block in records:
+                for h, block in parse(_unzipped(content.as_py())):
                     kind = h["warc-type"]
                     body = block.partition(b"\r\n\r\n")[2] if kind != "revisit" else None
-                    rows.append((name(h["warc-record-id"]), kind, name(h.get("warc-refers-to")), h.get("warc-target-uri"), body))
+                    page, digest = _name(h["warc-record-id"])
+                    rows.append((page, kind, _name(h.get("warc-refers-to"))[0], digest, h.get("warc-target-uri"), body))
                     held += len(block)
                     if held > 8 << 20:
                         yield _batch(rows)
@@ -132,43 +177,42 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = [pa.string()] * 4 + [pa.binary()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["record_id", "record_type", "refers_to", "url", "payload"]
-        )
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        kinds = [pa.string()] * 5 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
-    schema = "record_id string, record_type string, refers_to string, url string, payload binary"
+    schema = "record_id string, record_type string, refers_to string, digest string, url string, payload binary"
     return files.select("content").mapInArrow(run, schema)
 
 
-def archive_report(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", min_bytes: int = 1000) -> DataFrame:
+def archive_report(
+    pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", min_bytes: int = 1000, salts: int = 16
+) -> DataFrame:
     """Writes the archives to ``path``, reads them back, and tells what each record holds.
 
     Returns (id_col, payload_bytes, payload_digest, record_type, refers_to), the
     bytes and the digest of the full payload: for a revisit record those of the
-    response that it refers to. Null payloads are empty; empty and short payloads
-    are always responses. Rows that repeat the original's id are responses too.
+    response that it refers to, found by id and digest. Null payloads are empty;
+    empty and short payloads are always responses. Rows that repeat the original's
+    id are responses too; one id with several payloads is several records. Where no copy of a payload has an id, all are responses.
     Other columns are not read; an empty table gives an empty result.
     """
     spark = pages.sparkSession
-    write_warc(resolve(pages, id_col, payload_col, url_col, min_bytes), path)
+    largest = pages.agg(F.max(F.octet_length(F.col(payload_col).cast("string")))).first()[0] or 0
+    write_warc(resolve(pages, id_col, payload_col, url_col, min_bytes, salts), path, largest=largest)
     kind = pages.schema[id_col].dataType
     typed = lambda c: F.when(F.col(c) != "", F.col(c)).cast(kind)
     records = read_warc(spark, path).select(
-        "record_id", "record_type", "refers_to", F.length("payload").cast("long").alias("own_bytes"), F.sha1("payload").alias("own_digest")
+        "record_id", "record_type", "refers_to", "digest", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")
     )
     records = stored(records, "records")
-    responses = (
-        records.where("record_type = 'response'")
-        .select(F.col("record_id").alias("refers_to"), F.col("own_bytes").alias("there_bytes"), F.col("own_digest").alias("there_digest"))
-        .dropDuplicates(["refers_to"])
-    )
-    return records.join(responses, "refers_to", "left").select(
-        typed("record_id").alias(id_col),
-        F.coalesce("own_bytes", "there_bytes").alias("payload_bytes"),
-        F.coalesce("own_digest", "there_digest").alias("payload_digest"),
-        "record_type",
-        typed("refers_to").alias("refers_to"),
+    responses, revisits = (records.where(F.col("record_type") == t) for t in ("response", "revisit"))
+    # Only responses that a revisit names are joined; they are few rows for each, so they go in ``salts`` parts.
+    named = revisits.select("refers_to", "digest").distinct()
+    there = responses.select(F.col("record_id").alias("refers_to"), "digest", "payload_bytes", "payload_digest").dropDuplicates(["refers_to", "digest"])
+    parts = _salted(named.hint("merge").join(there, ["refers_to", "digest"]), salts)
+    resolved = revisits.drop("payload_bytes", "payload_digest").withColumn("salt", _salt(F.col("record_id"), salts)).join(parts.hint("merge"), ["refers_to", "digest", "salt"], "left")
+    return responses.unionByName(resolved.select(*records.columns)).select(
+        typed("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", typed("refers_to").alias("refers_to")
     )
