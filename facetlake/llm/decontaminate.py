@@ -1,14 +1,18 @@
 """Benchmark decontamination by greedy string tiling.
 
 Texts are cut into runs of letters and digits, lower-cased. A seed is ``tile``
-tokens in a row, hashed with a running (Karp-Rabin) polynomial; documents that
-share no seed with a test item are done after one vectorised look-up. For the
-others, seeds on one diagonal join to matches, and tiling marks the longest match
-of unmarked tokens, then the next, until none of ``tile`` tokens is left. Tiles
-may lie in any order, so a passage with its parts rearranged is covered as well.
-
-The test items are the stated query set: they are gathered and sent to the tasks
-in blocks of at most ``block_tokens`` tokens, one pass over the documents each.
+tokens in a row, hashed with a running (Karp-Rabin) polynomial; items with fewer
+tokens are one seed. Documents that share no seed with a test item are done
+after one vectorised look-up. For the others, tokens of the text and of the item
+are compared themselves, so a hash alone never makes a match. Matches begin
+where the tokens before differ and run as far as the tokens are the same;
+tiling marks the longest match of unmarked tokens, then the next, until none of
+``tile`` tokens is left. Tiles may lie in any order, so a passage with its parts
+rearranged is covered as well.
+
+The test items are the stated query set: they come to the driver a block of about
+``block_tokens`` tokens at a time and are sent to the tasks so, one pass over
+the documents for each block.
 """
 
 from __future__ import annotations
@@ -29,99 +33,172 @@ from .textarrays import SIGN_CLASS, chunks, tokens, windows
 LETTERS = (SIGN_CLASS == 1).astype(np.uint8)
 
 
-def token_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, token hashes, row bounds) of chunks of lower-cased texts."""
+def token_chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, bytes, token hashes, starts, ends, row bounds) of chunks of lower-cased texts."""
     for row, _, data, offsets in chunks(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))):
-        hashes, _, _, bounds = tokens(data, offsets, LETTERS)
-        yield row, hashes, bounds
+        hashes, starts, ends, bounds = tokens(data, offsets, LETTERS)
+        yield row, data, hashes, starts, ends, bounds
+
+
+def matches(item: np.ndarray, text: np.ndarray, places: np.ndarray, there: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longest matches (item place, text place, length) of at least ``tile`` equal tokens.
+
+    ``places`` and ``there`` are where seeds of the item and the text may be equal, each
+    in order of (seed, token before) and given as (seed code, place) arrays. A match
+    begins where the tokens before differ, so seeds inside a match are never paired.
+    """
+    codes_i, at_i = places
+    codes_t, at_t = there
+    # The token before; none is like nothing else, and differs between item and text.
+    before_i = np.where(at_i > 0, item[np.maximum(at_i - 1, 0)], -2)
+    before_t = np.where(at_t > 0, text[np.maximum(at_t - 1, 0)], -3)
+    order = np.lexsort((before_i, codes_i))
+    codes_i, at_i, before_i = codes_i[order], at_i[order], before_i[order]
+    low, high = np.searchsorted(codes_i, codes_t), np.searchsorted(codes_i, codes_t, "right")
+    # Within a seed's places, those with the text's token before lie together: the ones around them begin a match.
+    key = np.unique(np.concatenate([before_i, before_t]))
+    rank_i, rank_t = np.searchsorted(key, before_i), np.searchsorted(key, before_t)
+    names, group = np.unique(codes_i, return_inverse=True)
+    joint = group * (len(key) + 1) + rank_i
+    wanted = np.minimum(np.searchsorted(names, codes_t), max(len(names) - 1, 0)) * (len(key) + 1) + rank_t
+    inner_low = np.clip(np.searchsorted(joint, wanted), low, high)
+    inner_high = np.clip(np.searchsorted(joint, wanted, "right"), low, high)
+    begins = []
+    for a, b in ((low, inner_low), (inner_high, high)):
+        n = b - a
+        stop = np.cumsum(n)
+        begins.append((np.repeat(a - (stop - n), n) + np.arange(n.sum()), np.repeat(at_t, n)))
+    p = at_i[np.concatenate([x for x, _ in begins])]
+    t = np.concatenate([x for _, x in begins])
+    # As far as the tokens are the same.
+    length, alive = np.zeros(len(p), np.int64), np.arange(len(p))
+    while len(alive):
+        i, j = p[alive] + length[alive], t[alive] + length[alive]
+        alive = alive[(i < len(item)) & (j < len(text))]
+        i, j = p[alive] + length[alive], t[alive] + length[alive]
+        alive = alive[item[i] == text[j]]
+        length[alive] += 1
+    kept = length >= tile
+    return p[kept], t[kept], length[kept]
 
 
-def tiles(item: np.ndarray, at: np.ndarray, text: np.ndarray, there: np.ndarray, tile: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (item place, text place, length) from seeds at pairs of places.
+def tiles(item: np.ndarray, text: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], tile: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (item place, text place, length) from the longest matches.
 
     Longest first, then the earliest in the item and in the text.
     """
-    order = np.lexsort((at, there - at))
-    at, there = at[order], there[order]
-    fresh = np.ones(len(at), bool)
-    fresh[1:] = (np.diff(there - at) != 0) | (np.diff(at) != 1)
-    begin = np.flatnonzero(fresh)
-    length = np.diff(np.append(begin, len(at))) + tile - 1
-    heap = [(-n, p, t) for n, p, t in zip(length.tolist(), at[begin].tolist(), there[begin].tolist(), strict=True)]
-    heapq.heapify(heap)
+    p, t, n = found
+    order = np.lexsort((t, p, -n))
+    whole = zip((-n[order]).tolist(), p[order].tolist(), t[order].tolist(), strict=True)
     marked_item, marked_text = np.zeros(len(item), bool), np.zeros(len(text), bool)
-    out = []
-    while heap:
-        n, p, t = heapq.heappop(heap)
+    out, parts, left = [], [], len(item)
+    ahead = next(whole, None)
+    while left >= tile and (ahead or parts):
+        # Parts of matches and whole matches in one order.
+        if parts and (ahead is None or parts[0] < ahead):
+            n, p, t = heapq.heappop(parts)
+        else:
+            (n, p, t), ahead = ahead, next(whole, None)
         taken = marked_item[p : p - n] | marked_text[t : t - n]
         if not taken.any():
             marked_item[p : p - n] = True
             marked_text[t : t - n] = True
+            left += n
             out.append((p, t, -n))
             continue
         # What is left of the match between marked tokens.
         edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             if b - a >= tile:
-                heapq.heappush(heap, (a - b, p + a, t + a))
+                heapq.heappush(parts, (a - b, p + a, t + a))
     return out
 
 
 class Tests:
-    """Token hashes of test items and their seeds, sorted."""
+    """Test items as numbers of their tokens, and their seeds, sorted.
+
+    ``names`` numbers the items' distinct tokens. An item's seeds are as wide as the
+    tile, or as the item where that is shorter.
+    """
 
-    def __init__(self, ids: list, items: list[np.ndarray], tile: int):
-        self.ids, self.items, self.tile = ids, items, tile
-        seeds = [windows(x, tile) for x in items]
-        owner = np.repeat(np.arange(len(items)), [len(s) for s in seeds])
-        place = np.concatenate([np.arange(len(s)) for s in seeds] or [np.zeros(0, np.int64)])
-        codes = np.concatenate(seeds or [np.zeros(0, np.uint64)])
-        order = np.argsort(codes, kind="stable")
-        self.codes, self.owner, self.place = codes[order], owner[order], place[order]
+    def __init__(self, ids: list, items: list[tuple[list[bytes], np.ndarray]], tile: int):
+        self.ids, self.tile = ids, tile
+        self.names: dict[bytes, int] = {}
+        self.items = [np.array([self.names.setdefault(w, len(self.names)) for w in ws], np.int64) for ws, _ in items]
+        self.seeds = [windows(h, min(tile, len(h))) for _, h in items]
+        self.widths = sorted({min(tile, len(x)) for x in self.items})
+        self.by_width = {}
+        for width in self.widths:
+            owners = [k for k, x in enumerate(self.items) if min(tile, len(x)) == width]
+            owner = np.repeat(owners, [len(self.seeds[k]) for k in owners])
+            codes = np.concatenate([self.seeds[k] for k in owners])
+            pairs = np.unique(np.stack([codes, owner.astype(np.uint64)]), axis=1)
+            self.by_width[width] = pairs[0], pairs[1].astype(np.int64)
 
     def found(self, texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
         """(row, item, tiles) of rows that share a seed with an item."""
-        for first, hashes, bounds in token_hashes(texts):
-            codes = windows(hashes, self.tile)
-            if not len(codes) or not len(self.codes):
+        for first, data, hashes, starts, ends, bounds in token_chunks(texts):
+            hits = [self._hits(windows(hashes, w), w, bounds) for w in self.widths]
+            hits = [h for h in hits if h is not None]
+            if not hits:
                 continue
-            lo = np.searchsorted(self.codes, codes)
-            hit = np.flatnonzero(self.codes[np.minimum(lo, len(self.codes) - 1)] == codes)
-            row = np.searchsorted(bounds, hit, "right") - 1
-            inside = hit + self.tile <= bounds[row + 1]
-            hit, row = hit[inside], row[inside]
-            if not len(hit):
-                continue
-            count = np.searchsorted(self.codes, codes[hit], "right") - lo[hit]
-            stop = np.cumsum(count)
-            seed = np.repeat(lo[hit] - (stop - count), count) + np.arange(stop[-1])
-            hit, row, owner = np.repeat(hit, count), np.repeat(row, count), self.owner[seed]
+            row, owner, place, code = (np.concatenate(c) for c in zip(*hits, strict=True))
             order = np.lexsort((owner, row))
-            hit, row, owner, place = hit[order], row[order], owner[order], self.place[seed][order]
+            row, owner, place, code = row[order], owner[order], place[order], code[order]
             cut = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+            last, text = -1, None
             for a, b in zip(cut.tolist(), np.append(cut[1:], len(row)).tolist(), strict=True):
                 r, k = int(row[a]), int(owner[a])
-                text = hashes[bounds[r] : bounds[r + 1]]
-                yield first + r, k, tiles(self.items[k], place[a:b], text, hit[a:b] - bounds[r], self.tile)
+                if r != last:
+                    own = slice(bounds[r], bounds[r + 1])
+                    raw = data[starts[own][0] : ends[own][-1]].tobytes()
+                    zero = starts[own][0]
+                    text = np.array([self.names.get(raw[x:y], -1) for x, y in zip((starts[own] - zero).tolist(), (ends[own] - zero).tolist(), strict=True)], np.int64)
+                    last = r
+                item, width = self.items[k], min(self.tile, len(self.items[k]))
+                found = matches(item, text, (self.seeds[k], np.arange(len(self.seeds[k]))), (code[a:b], place[a:b] - bounds[r]), width)
+                yield first + r, k, tiles(item, text, found, width)
+
+    def _hits(self, codes: np.ndarray, width: int, bounds: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        """(row, item, token place, code) of the text's seeds that an item has."""
+        known, owners = self.by_width[width]
+        if not len(codes):
+            return None
+        low = np.searchsorted(known, codes)
+        hit = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == codes)
+        row = np.searchsorted(bounds, hit, "right") - 1
+        inside = hit + width <= bounds[row + 1]
+        hit, row = hit[inside], row[inside]
+        if not len(hit):
+            return None
+        n = np.searchsorted(known, codes[hit], "right") - low[hit]
+        stop = np.cumsum(n)
+        at = np.repeat(low[hit] - (stop - n), n) + np.arange(stop[-1])
+        hit, row = np.repeat(hit, n), np.repeat(row, n)
+        return row, owners[at], hit, codes[hit]
 
 
 def load_tests(benchmark: DataFrame, tile: int = 5, block_tokens: int = 4_000_000, id_col: str = "item_id", text_col: str = "text") -> list[Tests]:
-    """The items in blocks. Items with fewer than ``tile`` tokens, or null texts, can't be matched and are left out."""
-    rows = benchmark.select(F.col(id_col), F.col(text_col).cast("string")).toArrow()
-    ids, items = rows.column(0).to_pylist(), []
-    for _, hashes, bounds in token_hashes(rows.column(1)):
-        items += [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    blocks, own, size = [], [], 0
-    for i, x in zip(ids, items, strict=True):
-        if len(x) < tile:
-            continue
-        if own and size + len(x) > block_tokens:
-            blocks.append(own)
-            own, size = [], 0
-        own.append((i, x))
-        size += len(x)
-    blocks.append(own)
-    return [Tests([i for i, _ in b], [x for _, x in b], tile) for b in blocks if b]
+    """The items in blocks of about ``block_tokens`` tokens, gathered one after another.
+
+    An item with fewer than ``tile`` tokens is matched as a whole; one without a token, or with a null text, matches nothing.
+    """
+    rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    # A token and the sign after it take two bytes at least.
+    bytes_ = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    blocks = max(1, -(-int(bytes_) // (2 * block_tokens)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
+    out = []
+    for block in range(blocks):
+        own = dealt.where(F.col("block") == block).drop("block").toArrow()
+        ids, items = own.column(0).to_pylist(), []
+        for _, data, hashes, starts, ends, bounds in token_chunks(own.column(1)):
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                items.append(([data[x:y].tobytes() for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)], hashes[a:b]))
+        kept = [(i, x) for i, x in zip(ids, items, strict=True) if x[0]]
+        if kept:
+            out.append(Tests([i for i, _ in kept], [x for _, x in kept], tile))
+    return out
 
 
 def contaminated(docs: DataFrame, tests: list[Tests], threshold: float = 0.6, id_col: str = "doc_id", text_col: str = "text", item_type: str = "long") -> DataFrame:
@@ -130,7 +207,8 @@ def contaminated(docs: DataFrame, tests: list[Tests], threshold: float = 0.6, id
     Returns (id_col, item_id, covered_tokens, item_tokens, coverage, tiles); a tile
     is (item_start, doc_start, length) in tokens. Null and empty texts have no
     pairs; equal items give a pair each; rows that repeat are rows of their own.
-    Other columns are not read. No tests or no documents give an empty result.
+    Other columns are not read; a column of ``docs`` named like one of the result is
+    no hindrance. No tests or no documents give an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, item_id {item_type}, covered_tokens long, item_tokens long, coverage double, tiles array<struct<item_start:long,doc_start:long,length:long>>"
