@@ -151,6 +151,35 @@ def test_jaccard_like_brute_force(spark, width, num):
     assert len(set(label)) < len(texts) - 20
 
 
+@pytest.mark.parametrize(("region", "block"), [(2, 3), (12, 8)])
+def test_jaccard_in_divided_regions(spark, region, block):
+    """Crowded regions of copies that do not link, and of copies that do; a pair exactly at the threshold."""
+    rnd = random.Random(region)
+    base = words(rnd, 60, 10**6)
+    texts = [" ".join(edited(rnd, base, rnd.choice([0, 1, 2, 3, 5, 9]))) for _ in range(60)]
+    other = words(rnd, 40, 10**6)
+    texts += [" ".join(other[: 36 + k % 5] + words(rnd, k % 7, 10**6)) for k in range(40)]
+    at = words(rnd, 20, 10**6)
+    texts += [" ".join(at), " ".join(at + words(rnd, 3, 10**6))]  # 17 of 20 shingles: exactly 85 / 100
+    texts += [" ".join(words(rnd, 50, 10**6) + base[:4]) for _ in range(30)]  # one shingle in a fifth of all rows
+    sizes, label = brute_components(texts, 4, 85, 100)
+    got = {r.doc_id: r for r in jaccard_components(docs(spark, texts), 4, 85, 100, region=region, block=block).collect()}
+    assert [got[i].n_shingles for i in range(len(texts))] == sizes
+    assert [got[i].component_id for i in range(len(texts))] == label
+    assert label[101] == label[100] and 30 < len(set(label)) < len(texts) - 20
+
+
+def test_jaccard_of_names_that_clash(spark, monkeypatch):
+    """Two sets with one 64-bit name get others."""
+    from facetlake.llm import jaccard_join
+
+    real = jaccard_join._fingerprint
+    monkeypatch.setattr(jaccard_join, "_fingerprint", lambda own, salt=0: (7, real(own)[1]) if salt == 0 else real(own, salt))
+    texts = ["a b c d e f", "g h i j k l", "a b c d e f", None]
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs(spark, texts), 4, 85, 100).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 3}
+
+
 def test_jaccard_empty(spark):
     assert jaccard_components(docs(spark, [])).count() == 0
     assert [r.component_id for r in jaccard_components(docs(spark, [None, ""])).orderBy("doc_id").collect()] == [0, 1]
