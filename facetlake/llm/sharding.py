@@ -6,10 +6,13 @@ round is a few joins: a group's shards are counted, its documents that sit
 elsewhere ask to move to the group's fullest shard, and a quota for each pair of
 shards says how many may. Quotas only ever swap: for each document that moves
 from i to j another one moves from j to i, a linked one that wants to or a loose
-one without links. Counts therefore stay as even as they began.
+one without links. Counts therefore stay as even as they began. Every move
+raises a group's largest share of one shard, so rounds end by themselves: when
+no document may move any more.
 
 Groups larger than half a shard are cut into parts first, since no shard could
-hold them. The driver sees shard-by-shard counts alone.
+hold them. Rows move in units of at most ``PART`` of a group and shard, so no
+task ranks more of one group. The driver sees shard-by-shard counts alone.
 """
 
 from __future__ import annotations
@@ -19,15 +22,16 @@ from pyspark.sql import functions as F
 
 from .storage import stored
 
-MAX_BUCKETS = 1024
+#: Rows that are ranked together, about; tables of counts up to this size are sent to every task.
+PART, SENT_ROWS = 20_000, 500_000
 SALTS = 16
 
 
-def numbered(rows: DataFrame, by: str, name: str, buckets: int, salt: str) -> DataFrame:
+def numbered(rows: DataFrame, by: str, name: str, buckets: int, salt: str, values: int) -> DataFrame:
     """Adds gapless numbers from 0 within each value of ``by``, in a hashed order of ``_id``.
 
     Rows are ranked within buckets of the hash and shifted by the counts of the
-    buckets before; the table of counts has one row for each value and bucket.
+    buckets before; the table of counts has one row for each of ``values`` values and each bucket.
     """
     keyed = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.col("_id"), F.lit(salt)), F.lit(buckets)))
     counts = keyed.groupBy(by, "_bucket").agg(F.count("*").alias("_n"))
@@ -35,9 +39,9 @@ def numbered(rows: DataFrame, by: str, name: str, buckets: int, salt: str) -> Da
     starts = counts.select(by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inner = Window.partitionBy(by, "_bucket").orderBy(F.xxhash64(F.col("_id"), F.lit(salt), F.lit(1)), "_id")
     ranked = keyed.withColumn("_rank", F.row_number().over(inner) - 1)
-    # At most (values of by) x MAX_BUCKETS rows of three numbers.
+    # One row for each value and bucket: about the rows of the table by ``PART``.
     return (
-        ranked.join(F.broadcast(starts), [by, "_bucket"])
+        ranked.join(F.broadcast(starts) if buckets * values <= SENT_ROWS else starts.hint("merge"), [by, "_bucket"])
         .withColumn(name, (F.col("_start") + F.col("_rank")).cast("long"))
         .drop("_bucket", "_rank", "_start")
     )
@@ -62,27 +66,39 @@ def quotas(wants: dict[tuple[int, int], int], loose: dict[int, int]) -> tuple[di
     return linked, filling
 
 
+def _numbers(values: list[int]) -> Column:
+    """A constant array; made from text, which takes one call instead of one for each number."""
+    return F.expr(f"array({', '.join(f'{int(v)}L' for v in values)})")
+
+
 def _pairs(values: dict[tuple[int, int], int], i: Column, j: Column, shards: int) -> Column:
     """Looks a number up by a pair of shards; at most ``shards ** 2`` numbers."""
     flat = [0] * (shards * shards)
     for (a, b), n in values.items():
         flat[a * shards + b] = n
-    return F.get(F.array(*[F.lit(x) for x in flat]), i * shards + j)
+    return F.get(_numbers(flat), i * shards + j)
+
 
+def cut_links(nodes: DataFrame) -> int:
+    """Rows that do not share the shard which most of their group's rows have: links that are cut, counted from each group's largest part."""
+    units = nodes.where(F.col("grp").isNotNull()).groupBy("grp", "shard").agg(F.count("*").alias("n"))
+    groups = units.groupBy("grp").agg((F.sum("n") - F.max("n")).alias("cut"))
+    return groups.agg(F.sum("cut")).first()[0] or 0
 
-def propagate(nodes: DataFrame, shards: int, buckets: int, rounds: int = 4) -> DataFrame:
-    """Moves linked rows of (_id, shard, grp, ...) between shards; counts by shard stay.
 
-    ``grp`` is null for rows without links. Stops early when no row may move.
+def propagate(nodes: DataFrame, shards: int, buckets: int, rounds: int | None = None) -> DataFrame:
+    """Moves linked rows of (_id, shard, grp, part, ...) between shards; counts by shard stay.
+
+    ``grp`` is null for rows without links, ``part`` divides large groups. Ends when no row may move; ``rounds`` ends it earlier.
     """
-    for number in range(rounds):
+    number = 0
+    while rounds is None or number < rounds:
         linked, loose = nodes.where(F.col("grp").isNotNull()), nodes.where(F.col("grp").isNull())
-        units = linked.groupBy("grp", "shard").agg(F.count("*").alias("n"))
-        best = units.groupBy("grp").agg(F.max(F.struct("n", F.xxhash64("grp", "shard").alias("tie"), "shard")).alias("best"))
-        units = stored(
-            units.join(best, "grp").select("grp", "shard", "n", F.col("best.shard").alias("to"), (F.col("best.n") - F.col("n")).alias("gain")).where("shard <> to"),
-            "units",
-        )
+        units = stored(linked.groupBy("grp", "shard", "part").agg(F.count("*").alias("n")), "units")
+        held = units.groupBy("grp", "shard").agg(F.sum("n").alias("all"))
+        best = held.groupBy("grp").agg(F.max(F.struct("all", F.xxhash64("grp", "shard").alias("tie"), "shard")).alias("best"))
+        wishes = held.join(best, "grp").select("grp", "shard", F.col("best.shard").alias("to"), (F.col("best.all") - F.col("all")).alias("gain"))
+        units = stored(units.join(wishes.where("shard <> to"), ["grp", "shard"]), "wishes")
         wants = {(r["shard"], r["to"]): r["n"] for r in units.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
         if not wants:
             break
@@ -91,16 +107,16 @@ def propagate(nodes: DataFrame, shards: int, buckets: int, rounds: int = 4) -> D
         if not moves:
             break
         # Units in order of gain take their pair's quota; the last one may move in part.
-        order = Window.partitionBy("shard", "to").orderBy(F.desc("gain"), "grp").rowsBetween(Window.unboundedPreceding, -1)
+        order = Window.partitionBy("shard", "to").orderBy(F.desc("gain"), "grp", "part").rowsBetween(Window.unboundedPreceding, -1)
         quota = _pairs(moves, F.col("shard"), F.col("to"), shards)
         chosen = (
             units.withColumn("take", F.least(F.col("n"), quota - F.coalesce(F.sum("n").over(order), F.lit(0))))
             .where("take > 0")
-            .select("grp", "shard", "to", "take")
+            .select("grp", "shard", "part", "to", "take")
         )
-        inner = Window.partitionBy("grp", "shard").orderBy(F.xxhash64(F.col("_id")), "_id")
+        inner = Window.partitionBy("grp", "shard", "part").orderBy(F.xxhash64(F.col("_id")), "_id")
         moved = (
-            linked.join(chosen, ["grp", "shard"], "left")
+            linked.join(chosen.hint("merge"), ["grp", "shard", "part"], "left")
             .withColumn("_rank", F.row_number().over(inner))
             .withColumn("shard", F.when(F.col("_rank") <= F.col("take"), F.col("to")).otherwise(F.col("shard")))
             .drop("to", "take", "_rank")
@@ -112,18 +128,20 @@ def propagate(nodes: DataFrame, shards: int, buckets: int, rounds: int = 4) -> D
             for j in range(shards):
                 total += filling.get((i, j), 0)
                 ends.append(total)
-        own = F.slice(F.array(*[F.lit(e) for e in ends]), F.col("shard") * shards + 1, F.lit(shards))
-        target = F.size(F.filter(own, lambda e: e <= F.col("_place")))
-        filled = (
-            numbered(loose, "shard", "_place", buckets, f"fill{number}")
-            .withColumn("shard", F.when(target < shards, target).otherwise(F.col("shard")).cast("int"))
-            .drop("_place")
-        )
-        nodes = stored(moved.select(*nodes.columns).unionByName(filled.select(*nodes.columns)), "shards")
+        if filling:
+            own = F.slice(_numbers(ends), F.col("shard") * shards + 1, F.lit(shards))
+            target = F.size(F.filter(own, lambda e: e <= F.col("_place")))
+            loose = (
+                numbered(loose, "shard", "_place", buckets, f"fill{number}", shards)
+                .withColumn("shard", F.when(target < shards, target).otherwise(F.col("shard")).cast("int"))
+                .drop("_place")
+            )
+        nodes = stored(moved.select(*nodes.columns).unionByName(loose.select(*nodes.columns)), "shards")
+        number += 1
     return nodes
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None, part: int = PART) -> DataFrame:
     """A shard and a slot for every row of ``docs``; counts of shards are at most one apart.
 
     Returns (id_col, size, text_crc32, law, shard, slot, grown_shard). ``size`` is
@@ -143,21 +161,22 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
         "sizes",
     )
     total = rows.count()
-    buckets = max(1, min(MAX_BUCKETS, total // (shards * 2000)))
-    placed = numbered(rows.withColumn("_all", F.lit(0)), "_all", "_place", min(MAX_BUCKETS, buckets * shards), "start")
+    buckets = max(1, total // (shards * part))
+    placed = numbered(rows.withColumn("_all", F.lit(0)), "_all", "_place", max(1, total // part), "start", 1)
     limit = max(2, total // (2 * shards))
     # A text that a third of all rows hold meets its count in as many tasks as there are salts.
     salt = lambda c: F.pmod(F.xxhash64(c, F.lit("salt")), F.lit(SALTS)).cast("int")
     groups = rows.groupBy("key", "size", "text_crc32").agg(F.count("*").alias("copies")).where("copies > 1")
     groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    part = F.pmod(F.xxhash64(F.col("_id"), F.lit("part")), F.ceil(F.col("copies") / limit))
-    grp = F.when(F.col("copies").isNotNull(), F.xxhash64("key", "size", "text_crc32", part))
+    piece = F.pmod(F.xxhash64(F.col("_id"), F.lit("part")), F.ceil(F.col("copies") / limit))
+    grp = F.when(F.col("copies").isNotNull(), F.xxhash64("key", "size", "text_crc32", piece))
+    unit = F.when(F.col("copies").isNotNull(), F.pmod(F.xxhash64(F.col("_id"), F.lit("unit")), F.ceil(F.col("copies") / part)).cast("int"))
     nodes = (
         placed.withColumn("salt", salt("_id"))
-        .join(groups, ["key", "size", "text_crc32", "salt"], "left")
-        .select("_id", "size", "text_crc32", (F.col("_place") % shards).cast("int").alias("shard"), grp.alias("grp"))
+        .join(groups.hint("merge"), ["key", "size", "text_crc32", "salt"], "left")
+        .select("_id", "size", "text_crc32", (F.col("_place") % shards).cast("int").alias("shard"), grp.alias("grp"), unit.alias("part"))
     )
     final = propagate(stored(nodes, "nodes"), shards, buckets, rounds)
-    return numbered(final, "shard", "slot", buckets, "slot").select(
+    return numbered(final, "shard", "slot", buckets, "slot", shards).select(
         F.col("_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
