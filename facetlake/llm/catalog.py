@@ -92,7 +92,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
-    """Learned from labelled rows outside the held-out fold; the bounded sample of labels is sent to the texts."""
+    """Learned from labelled rows outside the held-out fold; the sample, ``quality.MAX_ROWS`` ids at most, is sent to the texts."""
     labels = _table(spark, sf_dir, "labels").where(_fold("doc_id", 5) != 0).where("quality is not null").select("doc_id", "quality")
     texts = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.train(texts.join(F.broadcast(quality.sample_rows(labels)), "doc_id"), max_rows=None)

@@ -6,10 +6,10 @@ whether neighbouring words are the same; each is hashed to ``2**bits`` places. A
 text's vector holds the root of each feature's share, so long and short texts
 weigh alike, and is scored whole as one sparse dot product.
 
-Training reads a sample of about ``max_rows`` labelled rows, chosen by the hash of
-their id. Tasks run follow-the-regularised-leader over their part of the
-rows from the weights of the round before, and the new weights are averaged; a
-round gathers at most ``2**bits`` numbers.
+Training reads at most ``max_rows`` labelled rows, those first in the order of the
+hash of their id. That bound makes it work for one task: follow-the-regularised-leader
+goes through the rows in a shuffled order, ``passes`` times, and keeps its state (the sums of
+gradients and of their squares for each place) from the first row to the last.
 """
 
 from __future__ import annotations
@@ -79,28 +79,39 @@ def score_chunk(model: QualityModel, data: np.ndarray, offsets: np.ndarray) -> n
     return _sigmoid(model.bias + np.bincount(row, model.weights[place] * value, len(offsets) - 1))
 
 
-def _ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], weights: np.ndarray, bias: float, alpha: float, beta: float, l1: float, l2: float, passes: int) -> tuple[np.ndarray, float]:
-    """Follow-the-regularised-leader with a learning rate for each place, started at ``weights``."""
-    n = np.zeros(len(weights) + 1)
-    w = np.append(weights, bias)
-    z = -w * (beta / alpha + l2) - np.sign(w) * l1
+def ftrl(
+    rows: list[tuple[np.ndarray, np.ndarray, int]], places: int, alpha: float, beta: float, l1: float, l2: float, passes: int
+) -> tuple[np.ndarray, float]:
+    """Weights and bias by follow-the-regularised-leader with a learning rate for each place.
+
+    ``rows`` are (places, values, label) without repeated places; the bias is one place more, with value 1.
+    """
+    z, n = np.zeros(places + 1), np.zeros(places + 1)
+
+    def lead(at: np.ndarray | slice) -> np.ndarray:
+        pull = np.abs(z[at]) - l1
+        return np.where(pull <= 0, 0.0, -np.sign(z[at]) * pull / ((beta + np.sqrt(n[at])) / alpha + l2))
+
     for _ in range(passes):
         for place, value, label in rows:
-            at, x = np.append(place, len(w) - 1), np.append(value, 1.0)
-            lead = z[at]
-            own = np.where(np.abs(lead) <= l1, 0.0, -(lead - np.sign(lead) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2))
-            w[at] = own
+            at, x = np.append(place, places), np.append(value, 1.0)
+            own = lead(at)
             g = (_sigmoid(own @ x) - label) * x
-            sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
-            z[at] += g - sigma * own
-            n[at] += g * g
+            more = n[at] + g * g
+            z[at] += g - (np.sqrt(more) - np.sqrt(n[at])) / alpha * own
+            n[at] = more
+    w = lead(slice(None))
     return w[:-1], float(w[-1])
 
 
-def sample_rows(rows: DataFrame, id_col: str = "doc_id", max_rows: int = MAX_ROWS) -> DataFrame:
-    """About ``max_rows`` rows, chosen by the hash of their id; all of them if there are no more."""
-    share = min(1.0, max_rows / max(rows.count(), 1))
-    return rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("quality")), F.lit(1_000_000)) < int(share * 1_000_000))
+def sample_rows(rows: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:
+    """(id_col, label_col) of at most ``max_rows`` ids with a label, the first in a hashed order.
+
+    An id that repeats counts once, with its largest label. Null ids and labels are left out.
+    """
+    labelled = rows.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    once = labelled.groupBy(id_col).agg(F.max(label_col).alias(label_col))
+    return once.orderBy(F.xxhash64(F.col(id_col), F.lit("quality")), id_col).limit(max_rows)
 
 
 def train(
@@ -110,24 +121,25 @@ def train(
     label_col: str = "quality",
     bits: int = 18,
     max_rows: int | None = MAX_ROWS,
-    rows_per_part: int = 400,
-    rounds: int = 2,
-    alpha: float = 5.0,
+    alpha: float = 1.0,
     beta: float = 1.0,
     l1: float = 0.0005,
     l2: float = 0.001,
-    passes: int = 4,
+    passes: int = 6,
 ) -> QualityModel:
     """Fits the model on rows of (id, text, label 0 or 1).
 
-    Rows with a null label are not used; null texts are empty. ``max_rows`` bounds
-    the sample; None says that the rows are a sample already. ``rows_per_part`` rows
-    are fitted in a task. Without a row the model scores every text 0.5.
+    Rows with a null label are not used; null texts are empty. Of rows that repeat an id one is
+    used, by the order of its text's hash. ``max_rows`` bounds the sample; None says that the rows are such a
+    sample already. Without a row the model scores every text 0.5.
     """
-    spark = labelled.sparkSession
     rows = labelled.where(F.col(label_col).isNotNull())
     if max_rows is not None:
-        rows = sample_rows(rows, id_col, max_rows)
+        rows = rows.join(F.broadcast(sample_rows(rows, id_col, label_col, max_rows)), [id_col, label_col], "left_semi")
+    order = F.xxhash64(F.col(id_col), F.lit("part"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = rows.select(order.alias("key"), F.col(label_col).cast("int").alias("label"), text.alias("text"))
+    rows = rows.groupBy("key").agg(F.min_by(F.struct("label", "text"), F.xxhash64("text")).alias("r")).select("key", "r.label", "r.text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,42 +156,24 @@ def train(
                     names=["key", "label", "place", "value"],
                 )
 
-    vector = (
-        rows.select(F.xxhash64(F.col(id_col), F.lit("part")).alias("key"), F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(vectors, "key long, label int, place array<int>, value array<float>")
-    )
-    vector = stored(vector, "vectors")
-    parts = max(1, vector.count() // rows_per_part)
-    vector = vector.withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = []
+        for batch in batches:
+            labels = batch.column(1).to_pylist()
+            places, values = (c.values.to_numpy(zero_copy_only=False) for c in (batch.column(2), batch.column(3)))
+            cut = batch.column(2).offsets.to_numpy()
+            data += [(places[a:b].astype(np.int64), values[a:b].astype(float), y) for a, b, y in zip(cut[:-1], cut[1:], labels, strict=True)]
+        w, bias = ftrl(data, 1 << bits, alpha, beta, l1, l2, passes)
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(w[at], bias))], names=["place", "w"])
+
+    vector = stored(rows.mapInArrow(vectors, "key long, label int, place array<int>, value array<float>"), "vectors")
+    # A hashed order of ids is a shuffled one, and the same in every run.
+    fitted = vector.repartition(1).sortWithinPartitions("key").mapInArrow(fit, "place long, w double").toArrow()
     weights, bias = np.zeros(1 << bits), 0.0
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((weights, bias))
-
-        def fit(table: pa.Table) -> pa.Table:
-            start, b = sent.value
-            data = [
-                (np.asarray(p, np.int64), np.asarray(v, float), y)
-                for p, v, y in zip(table.column("place").to_pylist(), table.column("value").to_pylist(), table.column("label").to_pylist(), strict=True)
-            ]
-            # An order of its own for every table: by content, so that a rerun gives the same weights.
-            data.sort(key=lambda r: (len(r[0]), r[2], r[0].tolist()))
-            np.random.default_rng(0).shuffle(data)
-            w, b = _ftrl(data, start, b, alpha, beta, l1, l2, passes)
-            at = np.flatnonzero(w)
-            return pa.table({"place": np.append(at, -1), "w": np.append(w[at], b)})
-
-        means = (
-            vector.groupBy("part")
-            .applyInArrow(fit, "place long, w double")
-            .groupBy("place")
-            .agg(F.sum("w").alias("w"), F.count("*").alias("n"))
-            .toArrow()
-        )
-        weights = np.zeros(1 << bits)
-        place, w, n = (means.column(c).to_numpy() for c in ("place", "w", "n"))
-        w = w / max(int(n[place < 0].sum()), 1)
-        weights[place[place >= 0]] = w[place >= 0]
-        bias = float(w[place < 0].sum())
+    place, w = fitted.column("place").to_numpy(), fitted.column("w").to_numpy()
+    weights[place[place >= 0]] = w[place >= 0]
+    bias = float(w[place < 0].sum())
     return QualityModel(bits, weights.astype(np.float32), bias)
 
 

@@ -74,7 +74,7 @@ def test_quality_held_out_and_edges(spark):
     bad = [" ".join(w + rnd.choice(["!!", "%%%", " |"]) for w in t.split()) for t in sentences(EN, 150, rnd)]
     rows = [(i, t, 1) for i, t in enumerate(good)] + [(1000 + i, t, 0) for i, t in enumerate(bad)] + [(5000, "x", None), (5001, None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
-    model = quality.train(df.where("doc_id % 5 <> 0"), rows_per_part=120)
+    model = quality.train(df.where("doc_id % 5 <> 0"))
     held = df.where("doc_id % 5 = 0 and quality is not null")
     got = {r.doc_id: r for r in quality.score_quality(held, model).collect()}
     right = [got[r[0]].predicted == r[2] for r in rows if r[0] in got]
@@ -83,10 +83,59 @@ def test_quality_held_out_and_edges(spark):
     scores = quality.score_quality(edge, model).collect()
     assert len(scores) == 4 and all(0 <= r.score <= 1 for r in scores)
     assert quality.keep_good(edge, model).columns == ["doc_id", "text", "score"]
-    same = quality.train(df.where("doc_id % 5 <> 0"), rows_per_part=120)
+    same = quality.train(df.where("doc_id % 5 <> 0"))
     assert np.allclose(same.weights, model.weights)
 
 
+def test_leader_like_a_plain_one():
+    """The same steps, a place at a time, in dictionaries."""
+    import math
+
+    rnd = np.random.default_rng(5)
+    rows = []
+    for _ in range(60):
+        place = np.sort(rnd.choice(40, rnd.integers(0, 12), replace=False))
+        rows.append((place, rnd.random(len(place)), int(rnd.integers(0, 2))))
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.8, 0.01
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        if abs(zi) <= l1:
+            return 0.0
+        return -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for _ in range(3):
+        for place, value, label in rows:
+            x = [*zip(place.tolist(), value.tolist()), ("bias", 1.0)]
+            w = {i: weight(i) for i, _ in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x)))
+            for i, v in x:
+                g = (p - label) * v
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    got, bias = quality.ftrl(rows, 40, alpha, beta, l1, l2, 3)
+    assert np.allclose(got, [weight(i) for i in range(40)]) and abs(bias - weight("bias")) < 1e-9
+    assert 0 < (got == 0).sum() < 40
+
+
+def test_quality_sample(spark):
+    """At most so many ids, one row of each that repeats, the largest of several labels; a score at the threshold passes."""
+    rows = [(i % 50, i % 2) for i in range(400)] + [(None, 1), (7, None)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int")
+    some = quality.sample_rows(labels, max_rows=20).collect()
+    assert len(some) == len({r.doc_id for r in some}) == 20
+    every = {r.doc_id: r.quality for r in quality.sample_rows(labels, max_rows=10**12).collect()}
+    assert every == {i: i % 2 for i in range(50)}
+    twice = spark.createDataFrame([(1, "good text here", 1)] * 30 + [(2, "|| ## ||", 0)], "doc_id long, text string, quality int")
+    once = twice.dropDuplicates()
+    assert np.allclose(quality.train(twice).weights, quality.train(once).weights)
+    flat = quality.QualityModel(4, np.zeros(16, np.float32), float(np.log(0.3 / 0.7)))
+    scored = quality.score_quality(once, flat, threshold=float(1 / (1 + np.exp(-flat.bias)))).collect()
+    assert [r.predicted for r in scored] == [1, 1]
+
+
 def test_quality_without_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, quality int")
     model = quality.train(empty)
