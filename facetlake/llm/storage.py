@@ -1,7 +1,7 @@
 """Cutting lineage through the folder that all executors share.
 
-``spark.checkpoint.dir`` is read from the session. Where it is unset (tests, a
-laptop) a temporary folder is taken; a cluster has to name a shared one.
+``spark.checkpoint.dir`` is read from the session. Where it is unset a local session
+(tests, a laptop) takes a temporary folder; any other session has to name a shared one.
 """
 
 from __future__ import annotations
@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; sets one on the driver's disk only where none is named."""
+    """The shared folder. A local session without one gets a folder on its own disk; elsewhere that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir names no folder that the executors of {master or 'this session'} share")
         named = "file://" + tempfile.mkdtemp(prefix="facetlake-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -1,7 +1,7 @@
 """URL rules in a trie over reversed host labels and path segments.
 
 A rule is ``host/path`` (or a bare ``host``) with a verdict. It fits its host and all subdomains if
-the URL's path starts with the rule's path, character by character: the last
+the URL's path starts with the rule's path, character by character (hosts without regard to the case of A-Z): the last
 segment of a rule may be the beginning of a segment. The longest fitting rule
 wins: first the one with more host labels, then the one with the longer path.
 
@@ -18,6 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOWER = str.maketrans(UPPER, UPPER.lower())
+
+
 class Trie:
     """Nodes are dictionaries: by label below a host, by segment below a path."""
 
@@ -28,7 +32,7 @@ class Trie:
     def add(self, rule: str, verdict: str) -> None:
         host, slash, path = rule.partition("/")
         node = self.root
-        for label in reversed(host.split(".")) if host else []:
+        for label in reversed(host.translate(LOWER).split(".")) if host else []:
             node = node.setdefault(("label", label), {})
         *segments, last = path.split("/")
         for segment in segments:
@@ -82,8 +86,7 @@ def build(rules: Iterable[tuple[str, str]], max_rules: int = 1_000_000) -> Trie:
 
 def url_host(url: Column) -> Column:
     """What follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://([^/?#]*)", 1), upper, upper.lower())
+    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://([^/?#]*)", 1), UPPER, UPPER.lower())
 
 
 def url_path(url: Column) -> Column:

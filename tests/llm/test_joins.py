@@ -9,7 +9,7 @@ from facetlake.llm.components import components
 from facetlake.llm.decontaminate import contaminated, clean, load_tests
 from facetlake.llm.exact_dedup import build_directory, exact_dedup
 from facetlake.llm.jaccard_join import jaccard_components
-from facetlake.llm.sharding import quotas, shard_documents
+from facetlake.llm.sharding import cut_links, propagate, quotas, shard_documents
 from facetlake.llm.url_filter import build, judge_urls
 from facetlake.llm.warc import _unzipped, archive_report, parse, read_warc, resolve, write_warc
 from pyspark.sql import functions as F
@@ -222,7 +222,7 @@ def test_decontaminate(spark):
 
 # -- URL rules --------------------------------------------------------------------
 
-RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"), ("bad.io", "block"), ("ok.bad.io/a/b", "allow")]
+RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"), ("bad.io", "block"), ("ok.bad.io/a/b", "allow"), ("Up.Case/x", "block")]
 
 
 def brute_url(url):
@@ -231,6 +231,7 @@ def brute_url(url):
     best = None
     for rule, verdict in RULES:
         h, slash, p = rule.partition("/")
+        h = h.lower()
         if (host == h or host.endswith("." + h)) and path.startswith(slash + p):
             size = (h.count("."), len(slash + p))
             if best is None or size > best[0]:
@@ -240,7 +241,8 @@ def brute_url(url):
 
 def test_urls_like_brute_force(spark):
     rnd = random.Random(7)
-    urls = [None, "", "example.com/en/", "http://", "http://COM/en/", "x://a.example.com", "x://a.example.com?en/7", "http://bad.io", "http://xbad.io/", "http://ok.bad.io/a/bc/d#x", "a://b://com/en/"]
+    urls = ["http://com/en/" + "x" * 200_000, "http://" + "a." * 20_000 + "com/en/", "http://q.com" + "/en" * 50_000, "http://com/en/", "http://com/en/", "http://UP.case/x"]
+    urls += [None, "", "example.com/en/", "http://", "http://COM/en/", "x://a.example.com", "x://a.example.com?en/7", "http://bad.io", "http://xbad.io/", "http://ok.bad.io/a/bc/d#x", "a://b://com/en/"]
     hosts = ["com", "example.com", "a.example.com", "Example.NET", "xexample.net", "org", "q.org", "bad.io", "ok.bad.io", "a.ok.bad.io", ""]
     paths = ["", "/", "/en", "/en/", "/en/7", "/en/71/x", "/de/8", "/de/", "/es//", "/a/b", "/a/bb", "/a", "/en/7?x", "/es/#y", "?/es/"]
     urls += [f"http{rnd.choice(['', 's'])}://{rnd.choice(hosts)}{rnd.choice(paths)}" for _ in range(300)]
@@ -354,3 +356,36 @@ def test_shards_are_even_and_keep_copies_together(spark, count):
     if count > 100:
         assert sum(len(set(g)) == 1 for g in small) >= 0.9 * len(small)
     assert shard_documents(docs(spark, []), shards=8).count() == 0
+
+
+def test_propagation_ends_with_fewer_cut_links(spark):
+    """Against a plain count: every round of swaps cuts fewer links, and the end has no swap left."""
+    rnd = random.Random(10)
+    rows = [(i, i % 6, rnd.choice([None, rnd.randrange(40)]), 0) for i in range(600)]
+    nodes = spark.createDataFrame(rows, "_id long, shard int, grp long, part int")
+
+    def cuts(collected):
+        held = {}
+        for r in collected:
+            if r.grp is not None:
+                held.setdefault(r.grp, Counter())[r.shard] += 1
+        return sum(sum(c.values()) - max(c.values()) for c in held.values())
+
+    seen = [cuts(nodes.collect())]
+    assert cut_links(nodes) == seen[0]
+    for rounds in (1, 2, None):
+        after = propagate(nodes, 6, 2, rounds)
+        assert Counter(r.shard for r in after.collect()) == Counter(r[1] for r in rows)
+        assert sorted(r._id for r in after.collect()) == list(range(600))
+        seen.append(cuts(after.collect()))
+        assert cut_links(after) == seen[-1]
+    assert seen == sorted(seen, reverse=True) and seen[0] > 4 * seen[-1]
+    assert propagate(after, 6, 2).select("_id", "shard").exceptAll(after.select("_id", "shard")).count() == 0
+
+
+def test_shards_of_repeated_ids_and_long_texts(spark):
+    rows = [(1, "x" * 300_000)] * 9 + [(1, "y")] * 9 + [(None, None)] * 3 + [(2, "z")]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards=4, part=3).collect()
+    assert sorted(Counter(r.shard for r in got).values()) == [5, 5, 6, 6]
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len(t or "") + 16) for i, t in rows)
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(4) for k in range(Counter(r.shard for r in got)[s])]
