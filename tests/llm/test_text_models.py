@@ -40,12 +40,100 @@ def model(spark):
     return language_id.train(spark.createDataFrame(rows, "text string, lang string"), order=3)
 
 
+def plain_kneser_ney(texts, order):
+    """p(sign | signs before it) by the definition, for one language, in dictionaries."""
+    def row(t):
+        out = [0]
+        for ch in t.lower():
+            x = ord(ch) if ch.isalpha() else 0
+            if x or out[-1]:
+                out.append(x)
+        return out + [0] if out[-1] else out
+
+    count = {n: {} for n in range(1, order + 1)}
+    for t in texts:
+        signs_ = row(t)
+        for i in range(1, len(signs_)):
+            gram = tuple(([0] * order + signs_[: i + 1])[-order:])
+            count[order][gram] = count[order].get(gram, 0) + 1
+    for n in range(order - 1, 0, -1):
+        for gram in count[n + 1]:
+            count[n][gram[1:]] = count[n].get(gram[1:], 0) + 1
+    spread = len({x for g in count[order] for x in g}) + 1
+
+    def p(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / spread
+        values = list(count[n].values())
+        once, twice = values.count(1), values.count(2)
+        d = min(0.95, max(0.1, once / (once + 2 * twice) if once + twice else 0.5))
+        same = [c for g, c in count[n].items() if g[:-1] == gram[:-1]]
+        if not same:
+            return p(gram[1:])
+        return max(count[n].get(gram, 0) - d, 0) / sum(same) + d * len(same) / sum(same) * p(gram[1:])
+
+    return p, row
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_language_model_like_a_plain_one(spark, order):
+    texts = {"a": ["The cat sat, on a mat!", "a cat; the hat", "日本 語"], "b": ["der hund läuft", "DIE Katze 7 schläft hund"]}
+    rows = spark.createDataFrame([(t, lang) for lang, ts in texts.items() for t in ts], "text string, lang string")
+    counted = language_id.count_grams(rows, order).toArrow()
+    rest = counted.column("rest").to_numpy()
+    columns = [rest >> (21 * k) & (2**21 - 1) for k in range(min(order, 3))] + [counted.column("first").to_numpy()] * (order > 3)
+    which = np.array([{"a": 0, "b": 1}[x] for x in counted.column("lang").to_pylist()])
+    model = language_id.kneser_ney(["a", "b"], order, columns, which, counted.column("n").to_numpy())
+    spread = model.spread
+    for k, lang in enumerate("ab"):
+        p, row = plain_kneser_ney(texts[lang], order)
+        for text in ["the cat", "katze über 日 x", "sat sat"]:
+            signs_ = row(text)
+            _, _, data, offsets = next(chunks(pa.array([text])))
+            symbols, bounds = language_id.signs(data, offsets)
+            assert symbols.tolist() == signs_
+            got = model.log_probabilities(language_id._before(symbols, bounds, order))[1:, k]
+            want = []
+            for i in range(1, len(signs_)):
+                gram = tuple(([0] * order + signs_[: i + 1])[-order:])
+                want.append(float(np.log(p_with(p, gram, spread, texts[lang], order, row))))
+            assert np.allclose(got, want, atol=1e-4), (lang, text)
+
+
+def p_with(p, gram, spread, texts, order, row):
+    """The plain model's even spread is over its own signs; the joint model's is over those of all languages."""
+    return p(gram) + (1 / spread - p(())) * leftover(p, gram, texts, order, row)
+
+
+def leftover(p, gram, texts, order, row):
+    """How much of the even spread reaches p(gram): its derivative, by asking for a sign that no text has."""
+    unseen = gram[:-1] + (0x10FFFF,)
+    return p(unseen) / p(())
+
+
 def test_language_probabilities_sum_to_one(model):
-    for context in (0, 5, (20 << 7) | 8, (99 << 7) | 101):
-        p = np.exp(model.log_probabilities((context << 7) | np.arange(128))).sum(0)
+    letters = np.unique(np.array([ord(c) for c in (EN + DE).replace(" ", "")]))
+    signs_ = np.concatenate([[0, 0x10FFFF], letters]).astype(np.uint32)
+    assert len(signs_) == model.spread
+    for before in ([0, 0], [ord("t"), 0], [ord("h"), ord("t")], [ord("q"), ord("q")]):
+        columns = [signs_] + [np.full(len(signs_), x, np.uint32) for x in before]
+        p = np.exp(model.log_probabilities(columns)).sum(0)
         assert np.allclose(p, 1, atol=1e-4)
 
 
+def test_language_ties_and_limits(spark):
+    """Languages with the same text tie: the first by name. Too many languages or grams are an error."""
+    same = spark.createDataFrame([("abc abd " * 5 + str(i), lang) for i in range(40) for lang in ("zz", "aa")], "text string, lang string")
+    model = language_id.train(same)
+    row = language_id.identify(spark.createDataFrame([(1, "abc abd")], "doc_id long, text string"), model).first()
+    assert row.lang_pred == "aa" and abs(row.score - 0.5) < 1e-6 and not row.rejected
+    with pytest.raises(ValueError, match="languages"):
+        language_id.train(same, max_languages=1)
+    with pytest.raises(ValueError, match="grams"):
+        language_id.train(same, max_grams=3)
+
+
 def test_language_held_out_and_edges(spark, model):
     rnd = random.Random(2)
     rows = [(i, t, "en", i) for i, t in enumerate(sentences(EN, 20, rnd))] + [(100 + i, t, "de", 0) for i, t in enumerate(sentences(DE, 20, rnd))]
