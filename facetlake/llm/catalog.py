@@ -108,6 +108,34 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: list_aggregate(ws[i:i + 3], 'string_agg', ' ')))
+                      WHEN len(ws) > 0 THEN [list_aggregate(ws, 'string_agg', ' ') || ' '] ELSE [] END AS sh
+  FROM w
+), n AS (
+  SELECT doc_id, len(sh) AS n_shingles FROM s
+), e AS (
+  SELECT doc_id, unnest(sh) AS g FROM s
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n_shingles + y.n_shingles - k)
+), both_ways AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, t.b FROM reach r JOIN both_ways t ON r.b = t.a
+)
+SELECT n.doc_id, n.n_shingles, min(reach.b) AS component_id FROM n JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n.n_shingles
+"""
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every contaminated pair; the tiles themselves stay in the operator's result."""
     tests = decontaminate.load_tests(_table(spark, sf_dir, "benchmark"))
@@ -167,6 +195,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": OP2_SQL,
+        "op6_jaccard_join": OP6_SQL,
         "op8_warc": OP8_SQL,
         "op10_exact_dedup": OP10_SQL,
     }
