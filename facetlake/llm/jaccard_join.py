@@ -217,8 +217,8 @@ def _stars(shared: DataFrame, num: int, den: int) -> DataFrame:
     # Nodes within one class differ in size by a link's most.
     window = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num + 1e-9))).alias("class") if num < den else F.col("n").alias("class")
     sizes = shared.groupBy("cell").agg(F.count("*").alias("size"))
-    sized = shared.select("cell", "fp", "n", window).join(sizes, "cell")
-    full = sized.groupBy("fp").agg((F.sum("size") / F.count("*")).alias("full"))
+    sized = shared.select("cell", "fp", "n").join(sizes, "cell")
+    full = sized.groupBy("fp").agg((F.sum("size") / (F.first("n") - F.ceil(F.first("n") * num / den) + 1)).alias("full"))
     placed = shared.select("cell", "fp", window).join(full, "fp")
     pivots = placed.groupBy("cell", "class").agg(F.max(F.struct("full", "fp")).alias("m")).select("cell", "class", F.col("m.fp").alias("pivot"))
     votes = placed.join(pivots, ["cell", "class"]).where("fp <> pivot").groupBy("fp", "pivot").agg(F.count("*").alias("k"))
@@ -449,22 +449,23 @@ def jaccard_components(
         if not held or held > before / 2:
             break
         before, late = held, stored(late.unionByName(crowded.select("shingle")), "late")
-    # Regions that still hold several components: nearest pairs first, which join most of them, then all that is left.
-    for nearest in (True, False):
-        if not nearest:
-            named = shared.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-            counts = stored(named.select("cell", "label").distinct().groupBy("cell").agg(F.count("*").alias("k")).where("k > 1"), "labels")
+    # Regions that still hold several components: nearest pairs first, as long as most of them link, then all that is left.
+    nearest = True
+    while True:
         rest = named.join(counts.select("cell"), "cell", "left_semi").join(nodes.select("fp", "coarse"), "fp")
         rest = _divided(stored(rest.select("cell", "fp", "n", "label", "coarse"), "rest"), num, den, region, block)
         more = _recursed(rest, num, den, nearest).join(tested, ["a", "b"], "left_anti")
         more = stored(_near(stored(more, "met"), nodes, num, den), "pairs")
-        if more.isEmpty():
-            continue
         fresh = stored(_verified(more, rows, heads, width, num, den, salt), "links")
         tested = tested.unionByName(more)
         if not fresh.isEmpty():
             links = links.unionByName(fresh)
             labels = components(links)
+        if not nearest:
+            break
+        nearest = 2 * fresh.count() > more.count()
+        named = shared.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        counts = stored(named.select("cell", "label").distinct().groupBy("cell").agg(F.count("*").alias("k")).where("k > 1"), "labels")
     named = heads.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("_id").alias("component_id"))
     found = stored(named.join(least, "label").select("fp", "component_id"), "found")
