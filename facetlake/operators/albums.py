@@ -26,8 +26,8 @@ def events(numbered: DataFrame, owner: str, ts: str, path: str) -> DataFrame:
 
 
 def covers(numbered: DataFrame, owner: str, ts: str, path: str, quality: Column) -> DataFrame:
-    """(owner, event_id, cover): the photo of the highest quality, the earliest of equals; unknown quality counts 0."""
-    best = F.max_by(path, F.struct(F.coalesce(quality, F.lit(0.0)), -F.unix_micros(F.col(ts).cast("timestamp")), -F.col(path)))
+    """(owner, event_id, cover): the photo of the highest quality, the earliest of equals, then the first path; unknown quality counts 0."""
+    best = F.min_by(path, F.struct((-F.coalesce(quality, F.lit(0.0))).alias("q"), F.col(ts).alias("t"), F.col(path).alias("p")))
     return numbered.groupBy(owner, "event_id").agg(best.alias("cover"))
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from facetlake.functions.vectors import dot, unit
+from facetlake.functions.vectors import unit
 
 from .clusters import NOISE, _few
 from .numbering import numbered_in_order
@@ -32,13 +37,14 @@ def assign_incrementally(
     high: float = 0.4,
     medium: float = 0.55,
     fresh: float = 0.65,
+    first_number: int = 0,
 ) -> DataFrame:
     """(id_col, cluster_id, confidence, method) for every new face, each on its own.
 
     ``high``: the nearest neighbour is closer than 1 - high and has a cluster.
     ``medium``: two or more votes and a best score above 1 - medium.
     ``new_cluster``: no neighbour, or the nearest below 1 - fresh; numbered in order
-    of the face's id. Else ``pending``, without a cluster.
+    of the face's id from ``first_number`` on, the first that no batch before used. Else ``pending``, without a cluster.
     """
     top = neighbours.where("rank = 1").join(labels.select(id_col, F.col(label).cast("string").alias("top_cluster")), id_col, "left")
     best = majority(neighbour_votes(neighbours, labels, id_col, label))
@@ -60,20 +66,86 @@ def assign_incrementally(
     cluster = (
         F.when(F.col("method") == "high", F.col("top_cluster"))
         .when(F.col("method") == "medium", F.col("voted"))
-        .when(F.col("method") == "new_cluster", F.format_string("inc_%06d", F.col("n")))
+        .when(F.col("method") == "new_cluster", F.format_string("inc_%06d", F.col("n") + first_number))
     )
     confidence = F.when(F.col("method") == "new_cluster", 1.0).when(F.col("method") == "medium", F.col("best")).otherwise(F.col("top"))
     return rows.select(F.col("query_id").alias(id_col), cluster.alias("cluster_id"), confidence.alias("confidence"), "method")
 
 
-def nearest_centroid(faces: DataFrame, prototypes: DataFrame, id_col: str, vec_col: str, label: str) -> DataFrame:
-    """(id_col, predicted, confidence): the prototype at the least cosine distance, the smallest label of equals."""
-    rows = faces.select(id_col, unit(F.col(vec_col)).alias("u")).crossJoin(
-        F.broadcast(_few(prototypes.select(F.col(label).alias("cluster"), unit(F.col("centroid")).alias("c"))))
-    )
-    scored = rows.select(id_col, "cluster", F.round(dot(F.col("u"), F.col("c")), 6).alias("sim"))
-    best = scored.groupBy(id_col).agg(F.max(F.struct("sim", (-F.col("cluster")).alias("neg"))).alias("b"))
-    return best.select(id_col, (-F.col("b.neg")).cast("int").alias("predicted"), F.greatest("b.sim", F.lit(0.0)).alias("confidence"))
+def nearest_centroid(
+    faces: DataFrame, prototypes: DataFrame, id_col: str, vec_col: str, label: str, exclude: list[int] | None = None, most: int = 100_000
+) -> DataFrame:
+    """(id_col, predicted, confidence): the prototype at the least cosine distance, the smallest label of equals.
+
+    Prototypes named in ``exclude`` do not stand for choice. A vector that is null or zero, and any vector without a
+    prototype, has no prediction and confidence 0. At most ``most`` prototypes are sent to the tasks, as one matrix; a
+    batch of faces is one product with it, and nothing is shuffled.
+    """
+    rows = prototypes.where(~F.col(label).isin(exclude)) if exclude else prototypes
+    own = _few(rows.select(F.col(label).cast("int").alias("cluster"), unit(F.col("centroid")).alias("c")), most).orderBy("cluster").toArrow()
+    labels = np.array(own.column("cluster").to_pylist(), np.int64)
+    matrix = np.array(own.column("c").to_pylist(), np.float64)
+    sent = faces.sparkSession.sparkContext.broadcast((labels, matrix))
+    kind = faces.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, matrix = sent.value
+        for batch in batches:
+            for lo in range(0, len(batch), 1024):
+                part = batch.slice(lo, 1024)
+                vectors = part.column(1).to_pylist()
+                known = np.array([v is not None and any(v) for v in vectors], bool) & (len(labels) > 0)
+                predicted, best = np.zeros(len(part), np.int64), np.zeros(len(part))
+                if known.any():
+                    v = np.array([x for x, k in zip(vectors, known.tolist(), strict=True) if k], np.float64)
+                    scores = np.round(v / np.linalg.norm(v, axis=1, keepdims=True) @ matrix.T, 6)
+                    at = scores.argmax(1)  # the first of equals: labels are in order
+                    predicted[known], best[known] = labels[at], np.maximum(scores[np.arange(len(v)), at], 0.0)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(predicted, pa.int32(), mask=~known), pa.array(best)], names=[id_col, "predicted", "confidence"])
+
+    return faces.select(id_col, F.col(vec_col).cast("array<double>")).mapInArrow(run, f"`{id_col}` {kind}, predicted int, confidence double")
+
+
+def euclidean_shares(queries: DataFrame, corpus: DataFrame, id_col: str, vec_col: str, label: str, k: int = 5) -> DataFrame:
+    """(query_id, cluster, share): the shares of clusters among a query's ``k`` nearest other faces, each by 1 / distance.
+
+    ``queries`` are a stated, gathered set, compared block by block of the corpus; each task keeps its own best ``k``.
+    """
+    asked = _few(queries.select(id_col, F.col(vec_col).cast("array<double>").alias("v")), 100_000).toArrow()
+    ids, vectors = asked.column(0).to_pylist(), np.array(asked.column(1).to_pylist(), np.float64)
+    sent = corpus.sparkSession.sparkContext.broadcast((ids, vectors))
+    kind, cluster = corpus.schema[id_col].dataType.simpleString(), corpus.schema[label].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = sent.value
+        best: list[list] = [[] for _ in ids]
+        for batch in batches:
+            if not len(batch) or not len(ids):
+                continue
+            own, labels, v = batch.column(0).to_pylist(), batch.column(2).to_pylist(), np.array(batch.column(1).to_pylist(), np.float64)
+            for j, qid in enumerate(ids):
+                far = np.round(np.sqrt(((v - q[j]) ** 2).sum(1)), 6)
+                reach = np.partition(far, min(k, len(far) - 1))[min(k, len(far) - 1)]
+                found = [(float(far[i]), own[i], labels[i]) for i in np.flatnonzero(far <= reach) if own[i] != qid]
+                best[j] = sorted(found + best[j], key=lambda r: r[:2])[:k]
+        flat = [(qid, *r) for qid, rows in zip(ids, best, strict=True) for r in rows]
+        if flat:
+            a, d, i, c = zip(*flat, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(d, pa.float64()), pa.array(i), pa.array(c)], schema=pa.schema([("query_id", batch_types[0]), ("d", pa.float64()), (id_col, batch_types[0]), ("cluster", batch_types[1])]))
+
+    batch_types = [asked.schema.field(0).type, to_arrow_type(corpus.schema[label].dataType)]
+    rows = corpus.where(F.col(label).isNotNull()).select(id_col, F.col(vec_col).cast("array<double>").alias("v"), label)
+    near = rows.mapInArrow(run, f"query_id {kind}, d double, `{id_col}` {kind}, cluster {cluster}")
+    order = Window.partitionBy("query_id").orderBy("d", id_col)
+    top = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    sums = top.groupBy("query_id", "cluster").agg(F.sum(1 / (F.col("d") + 1e-6)).alias("w"))
+    return sums.select("query_id", "cluster", F.round(F.col("w") / F.sum("w").over(Window.partitionBy("query_id")), 6).alias("share"))
+
+
+def best_share(shares: DataFrame) -> DataFrame:
+    """(query_id, cluster, share): the largest share of each query, the smallest cluster of equals."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("share"), "cluster")
+    return shares.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
 def misclassified(predictions: DataFrame, truth: DataFrame, id_col: str, label: str, threshold: float = 0.5) -> DataFrame:

@@ -154,6 +154,12 @@ def drift(before: DataFrame, after: DataFrame, id_col: str, label: str) -> DataF
     return counts.crossJoin(fresh).select("common", "changed", F.round(share, 6).alias("drift"), "new_clusters")
 
 
+def named(labels: DataFrame, id_col: str, label: str) -> DataFrame:
+    """(id_col, name): ``cluster_<label>``, and ``noise_<id>`` for each point of noise."""
+    own = F.concat(F.lit("cluster_"), F.col(label).cast("string"))
+    return labels.select(id_col, F.when(F.col(label) == NOISE, F.concat(F.lit("noise_"), F.col(id_col).cast("string"))).otherwise(own).alias("name"))
+
+
 def merged_labels(faces: DataFrame, label: str, vec_col: str, threshold: float = 0.85, min_reliable: int = 10, small_threshold: float = 0.75) -> dict[int, int]:
     """Old label to new: the most similar pair of clusters above its threshold merges, again and again.
 

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` replace those of ``table`` with the same keys."""
-    return table.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
+def upsert(table: DataFrame, rows: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """``rows`` replace those of ``table`` with the same keys; of rows that repeat a key the first by ``order`` counts, or any one without it."""
+    once = latest(rows, keys, order) if order else rows.dropDuplicates(keys)
+    return table.join(once.select(*keys), keys, "left_anti").unionByName(once)
 
 
 def latest(versions: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -32,8 +33,9 @@ def cache_store(cache: DataFrame, faces: DataFrame, path: str, vec_col: str) ->
 
 
 def update_clusters(table: DataFrame, changes: DataFrame, key: str, cluster: str) -> DataFrame:
-    """New clusters by key; a change to null counts as a change."""
-    new = changes.select(key, F.col(cluster).alias("_new"), F.lit(True).alias("_given"))
+    """New clusters by key; a change to null counts as a change, and of several changes of a key the largest cluster is taken."""
+    once = changes.groupBy(key).agg(F.max(cluster).alias(cluster))
+    new = once.select(key, F.col(cluster).alias("_new"), F.lit(True).alias("_given"))
     return table.join(new, key, "left").withColumn(cluster, F.when(F.col("_given"), F.col("_new")).otherwise(F.col(cluster))).select(*table.columns)
 
 

@@ -7,6 +7,7 @@ joins and expressions on the whole table, one after another.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,12 +59,40 @@ def organise(images: DataFrame, members: DataFrame, path: str, cluster: str, fac
 
 
 def unique_destinations(plan: DataFrame, folder: str, path: str) -> DataFrame:
-    """Adds ``dest``: the file's name in its folder, with _1, _2, ... before the extension where the name is taken."""
+    """Adds ``dest``: the file's name in its folder, with _1, _2, ... before the extension where the name is taken.
+
+    Files take names in order of their paths, so a later one also gives way to a number that an earlier one was given. Names
+    can only meet if they are the same without numbers at their ends; of those, only sets in which a name repeats are
+    gone through file by file, all others keep their names.
+    """
     name = F.regexp_extract(path, r"([^/]*)$", 1)
-    stem, ext = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^.+?(\.[^.]*)?$", 1)
-    w = Window.partitionBy(folder, name).orderBy(path)
-    n = F.row_number().over(w) - 1
-    return plan.withColumn("dest", F.concat(folder, F.lit("/"), stem, F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), ext))
+    ext = F.regexp_extract(name, r"^.+?(\.[^.]*)?$", 1)
+    stem = F.substr(name, F.lit(1), F.length(name) - F.length(ext))
+    root = F.regexp_replace(stem, r"(_[0-9]+)+$", "")
+    rows = plan.withColumn("_name", name).withColumn("_stem", stem).withColumn("_ext", ext).withColumn("_root", root)
+    keys = [folder, "_root", "_ext"]
+    meet = rows.groupBy(*keys, "_name").agg(F.count("*").alias("_n")).where("_n > 1").select(*keys).distinct()
+    kept = rows.join(meet, keys, "left_anti").withColumn("dest", F.concat(folder, F.lit("/"), "_name"))
+
+    def give(table: pa.Table) -> pa.Table:
+        table = table.sort_by(path)
+        taken, dest = set(), []
+        nexts: dict[str, int] = {}
+        for stem, ext in zip(table.column("_stem").to_pylist(), table.column("_ext").to_pylist(), strict=True):
+            own, n = stem, nexts.get(stem, 0)
+            while own in taken:
+                n += 1
+                own = f"{stem}_{n}"
+            nexts[stem] = n
+            taken.add(own)
+            dest.append(own + ext)
+        folders = table.column(folder).to_pylist()
+        return table.append_column("dest", pa.array([f"{f}/{d}" for f, d in zip(folders, dest, strict=True)], pa.string()))
+
+    columns = [*plan.columns, "dest"]
+    schema = rows.join(meet, keys, "left_semi").withColumn("dest", F.lit("")).schema
+    told = rows.join(meet, keys, "left_semi").groupBy(*keys).applyInArrow(give, schema)
+    return kept.select(*columns).unionByName(told.select(*columns))
 
 
 def rename_operations(names: dict[int, str], cluster: int, name: str) -> tuple[dict[int, str], list[dict]]:

@@ -6,8 +6,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,22 +14,7 @@ from facetlake.functions.vectors import blended, cosine
 from facetlake.operators import albums, classify, clusters, jobs, search, stores, workspace
 from facetlake.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with its SQL if it has one."""
-
-    def register(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql is not None:
-            _sql[f.__name__] = sql
-        return f
-
-    return register
-
+from .registry import QUERIES, SQL, Query, query
 
 UNIT = "list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))"
 U = f"u AS (SELECT vec_id, label, {UNIT} AS v FROM embeddings)"
@@ -220,16 +203,16 @@ def composite_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NEAR = f"""WITH {U}, n AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_dot_product(a.v, b.v), 6) AS s,
     row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.v, b.v), 6) DESC, b.vec_id) AS rank
-    FROM u a, u b WHERE a.vec_id % 50 = 1 AND b.vec_id % 2 = 0 QUALIFY rank <= 3),
+    FROM u a, u b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 3),
     v AS (SELECT query_id, label, count(*) AS votes, max(s) AS best, min(rank) AS first_rank FROM n GROUP BY ALL),
     w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, first_rank) = 1)"""
 
 
 def _known_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Even ids are known faces; the new ones are a stated query set of odd ids."""
+    """The stated query set of new faces is every id divisible by 50; all others of a face are known to it."""
     faces = table(spark, sf_dir, "embeddings")
-    known, new = faces.where("vec_id % 2 = 0"), faces.where("vec_id % 50 = 1")
-    return known, new, search.top_neighbours(new, known, "vec_id", "embedding", 3)
+    new = faces.where("vec_id % 50 = 0")
+    return faces, new, search.top_neighbours(new, faces, "vec_id", "embedding", 3)
 
 
 @query(f"{NEAR} SELECT query_id, label AS cluster, votes, best FROM w")
@@ -251,20 +234,33 @@ def incremental_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.assign_incrementally(new, near, known, "vec_id", "label", high=0.55, medium=0.7, fresh=0.65)
 
 
+EUCLID = """e AS (SELECT a.vec_id AS query_id, b.label AS cluster, round(sqrt(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) AS d,
+    b.vec_id FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    ek AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= 5),
+    ev AS (SELECT query_id, cluster, round(sum(1 / (d + 1e-6)) / sum(sum(1 / (d + 1e-6))) OVER (PARTITION BY query_id), 6) AS share FROM ek GROUP BY query_id, cluster)"""
+
+
+@query(f"WITH {EUCLID} SELECT query_id, cluster, share FROM ev")
+def euclidean_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = table(spark, sf_dir, "embeddings")
+    return classify.euclidean_shares(faces.where("vec_id % 50 = 0"), faces, "vec_id", "embedding", "label", 5)
+
+
 @query(
-    f"""{NEAR}, m AS (SELECT query_id, 'cosine' AS method, label AS cluster, best AS confidence FROM w UNION ALL
-      SELECT query_id, 'euclid', label, s FROM n WHERE rank = 1),
+    f"""{NEAR}, {EUCLID}, m AS (SELECT query_id, 'cosine' AS method, label AS cluster, best AS confidence FROM w UNION ALL
+      SELECT query_id, 'euclid', cluster, share FROM ev QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY share DESC, cluster) = 1),
     s AS (SELECT query_id, cluster, sum((CASE method WHEN 'cosine' THEN 0.5 ELSE 0.2 END) * confidence) AS s FROM m GROUP BY ALL),
     b AS (SELECT query_id, cluster, round(round(s, 9) / sum(s) OVER (PARTITION BY query_id), 6) AS confidence FROM s
       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, cluster) = 1)
     SELECT query_id, CASE WHEN confidence >= 0.4 THEN cluster END AS predicted, confidence FROM b"""
 )
 def ensemble_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known, _, near = _known_and_new(spark, sf_dir)
+    """Cosine and Euclidean votes; the kernel machine's share of the weight needs a trained model (``operators/kernel.py``)."""
+    known, new, near = _known_and_new(spark, sf_dir)
     best = classify.majority(classify.neighbour_votes(near, known, "vec_id", "label"))
-    first = near.where("rank = 1").join(known.select("vec_id", "label"), "vec_id")
+    euclid = classify.best_share(classify.euclidean_shares(new, known, "vec_id", "embedding", "label", 5))
     votes = best.select("query_id", F.lit("cosine").alias("method"), "cluster", F.col("best").alias("confidence")).unionByName(
-        first.select("query_id", F.lit("euclid").alias("method"), F.col("label").alias("cluster"), F.col("similarity").alias("confidence"))
+        euclid.select("query_id", F.lit("euclid").alias("method"), "cluster", F.col("share").alias("confidence"))
     )
     return classify.weighted_vote(votes, {"cosine": 0.5, "euclid": 0.2, "svm": 0.3})
 
@@ -617,11 +613,11 @@ def plan_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT vec_id, list_transform(embedding[1:8]::DOUBLE[], lambda x: exp(x)) AS e FROM embeddings)
+    """WITH e AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: exp(x)) AS e FROM embeddings)
     SELECT vec_id, round(unnest(e) / list_sum(e), 6) AS p, generate_subscripts(e, 1) - 1 AS pos FROM e"""
 )
 def label_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = zero_shot.softmax(F.slice("embedding", 1, 8).cast("array<double>"))
+    made = zero_shot.softmax(F.col("embedding").cast("array<double>"))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(made).alias("pos", "v")).select("vec_id", "pos", F.round("v", 6).alias("p"))
 
 
@@ -637,8 +633,11 @@ def primary_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    from . import photo_queries, store_queries  # noqa: F401  (they register themselves)
+
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    queries()
+    return SQL

@@ -18,7 +18,8 @@ def supported(name: Column, extensions: list[str] | None = None) -> Column:
 def scan_images(spark: SparkSession, root: str, extensions: list[str] | None = None, skipped: list[str] | None = None) -> DataFrame:
     """(path, length, modified, fingerprint), sorted by path; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    inner = F.expr(f"substring(path, locate('{root.rstrip('/')}', path) + {len(root.rstrip('/')) + 1})")
+    base = root.rstrip("/")
+    inner = F.substr(F.col("path"), F.locate(base, F.col("path")) + F.lit(len(base) + 1))
     parts = F.split(inner, "/")
     folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
     bad = F.exists(folders, lambda f: f.startswith(".") | f.isin(skipped or SKIPPED))
