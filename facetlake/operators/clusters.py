@@ -1,19 +1,15 @@
-"""Clusters of vectors: centroids, confidence, merging, density clustering, drift."""
+"""Clusters of vectors: centroids, confidence, merging, drift; density clustering is in ``density``."""
 
 from __future__ import annotations
 
-
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetlake.functions.vectors import dot, unit
 
-from .numbering import cut, numbered_in_order
-
-NOISE = -1
+from .density import NOISE, dbscan  # noqa: F401
+from .numbering import cut, numbered_in_order  # noqa: F401
 
 
 def mapping(faces: DataFrame, label: str, path: str) -> DataFrame:
@@ -54,75 +50,6 @@ def _few(small: DataFrame, most: int = 100_000) -> DataFrame:
     return small
 
 
-def pairs_within(points: DataFrame, id_col: str, vec_col: str, radius: float, block_rows: int = 4096) -> DataFrame:
-    """(a, b, distance) of ordered pairs of different points no farther apart than ``radius`` (unit vectors).
-
-    Points are dealt into blocks; every pair of blocks is one group of at most two
-    blocks, compared as a matrix product. Pairs beyond the radius are never made.
-    """
-    total = points.count()
-    blocks = max(1, -(-total // block_rows))
-    kind = points.schema[id_col].dataType.simpleString()
-    keyed = points.select(F.col(id_col).alias("id"), unit(F.col(vec_col)).alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    sides = keyed.withColumn("other", F.explode(every)).select(
-        F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "v"
-    )
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_pylist()
-        block = table.column("block").to_numpy()
-        v = np.array(table.column("v").to_pylist(), np.float64)
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        x, y = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        if not len(x) or not len(y):
-            return pa.table({"a": pa.array([], table.schema.field("id").type), "b": pa.array([], table.schema.field("id").type), "distance": pa.array([], pa.float64())})
-        d = np.sqrt(np.maximum(2 - 2 * (v[x] @ v[y].T), 0))
-        i, j = np.nonzero(d <= radius)
-        keep = x[i] != y[j]
-        i, j = i[keep], j[keep]
-        a, b, gap = [ids[k] for k in x[i]], [ids[k] for k in y[j]], d[i, j]
-        if lo != hi:
-            a, b, gap = a + b, b + a, np.concatenate([gap, gap])
-        return pa.table({"a": pa.array(a, table.schema.field("id").type), "b": pa.array(b, table.schema.field("id").type), "distance": gap})
-
-    return sides.groupBy("lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}, distance double")
-
-
-def dbscan(points: DataFrame, id_col: str, vec_col: str, eps: float = 0.5, min_samples: int = 3) -> DataFrame:
-    """(id_col, label): density clusters of unit vectors by Euclidean distance; -1 is noise.
-
-    A point with ``min_samples`` points within ``eps``, itself included, is a core
-    point. Cores within reach share a cluster; clusters are numbered by their
-    smallest core id; a border point goes to the lowest cluster next to it.
-    """
-    edges = pairs_within(points, id_col, vec_col, eps).select("a", "b").persist()
-    core = edges.groupBy("a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("id"))
-    if min_samples <= 1:
-        core = points.select(F.col(id_col).alias("id"))
-    core = core.persist()
-    inner = edges.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-    labels = core.select("id", F.col("id").alias("root")).persist()
-    while True:
-        step = inner.join(labels.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("root").alias("m"))
-        hop = labels.join(step, "id", "left").select("id", "root", F.least("root", F.coalesce("m", "root")).alias("next"))
-        # A root's own root shortens long chains.
-        up = labels.select(F.col("id").alias("next"), F.col("root").alias("up"))
-        new = hop.join(up, "next", "left").select("id", F.coalesce("up", "next").alias("root"), (F.coalesce("up", "next") != F.col("root")).alias("moved"))
-        new = cut(new)
-        changed = not new.where("moved").isEmpty()
-        labels = new.select("id", "root")
-        if not changed:
-            break
-    roots = numbered_in_order(labels.select("root").distinct(), ["root"], "label").withColumn("label", F.col("label").cast("int"))
-    cores = labels.join(roots, "root").select("id", "label")
-    border = (
-        edges.join(cores.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("beside"))
-    )
-    out = points.select(F.col(id_col).alias("id")).join(cores, "id", "left").join(border, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("label", "beside", F.lit(NOISE)).alias("label"))
-
-
 def k_distances(neighbours: DataFrame, k: int) -> DataFrame:
     """(position, distance): sorted Euclidean distances to the k-th neighbour, from ranked cosine similarities."""
     d = F.sqrt(F.greatest(2 - 2 * F.col("similarity"), F.lit(0.0)))

@@ -112,13 +112,10 @@ def test_dbscan(spark):
     assert {r.label for r in clusters.dbscan(faces(spark, spread), "id", "v", 0.3, 3).collect()} == {-1}
 
 
-def test_dbscan_like_brute_force(spark):
-    rng = np.random.default_rng(1)
-    m = rng.normal(size=(80, 3))
-    u = m / np.linalg.norm(m, axis=1, keepdims=True)
-    near = np.linalg.norm(u[:, None] - u[None], axis=2) <= 0.35
-    core = near.sum(1) >= 4
-    label = np.full(80, -1)
+def dbscan_by_hand(u, eps, least):
+    near = np.linalg.norm(u[:, None] - u[None], axis=2) <= eps
+    core = near.sum(1) >= least
+    label = np.full(len(u), -1)
     number = 0
     for s in np.flatnonzero(core):
         if label[s] >= 0:
@@ -134,10 +131,38 @@ def test_dbscan_like_brute_force(spark):
     for x in np.flatnonzero(~core):
         beside = label[near[x] & core]
         want[x] = beside.min() if len(beside) else -1
-    got = {r.id: r.label for r in clusters.dbscan(faces(spark, [(i, v, 0) for i, v in enumerate(m)]), "id", "v", 0.35, 4).collect()}
-    assert [got[i] for i in range(80)] == want.tolist()
-    pairs = clusters.pairs_within(faces(spark, [(i, v, 0) for i, v in enumerate(m)]), "id", "v", 0.35, block_rows=16)
-    assert pairs.count() == near.sum() - 80 == pairs.distinct().count()
+    return want.tolist()
+
+
+def test_dbscan_like_brute_force(spark):
+    m = np.random.default_rng(1).normal(size=(80, 3))
+    want = dbscan_by_hand(m / np.linalg.norm(m, axis=1, keepdims=True), 0.35, 4)
+    df = faces(spark, [(i, v, 0) for i, v in enumerate(m)])
+    for blocks in ({}, {"block_rows": 16, "sample_rows": 40}):
+        got = {r.id: r.label for r in clusters.dbscan(df, "id", "v", 0.35, 4, **blocks).collect()}
+        assert [got[i] for i in range(80)] == want
+
+
+@pytest.mark.parametrize("seed,eps,least", [(3, 0.1, 4), (5, 0.5, 6)])
+def test_dbscan_of_dense_groups_over_many_cells(spark, seed, eps, least):
+    """Copies, kernels, chains and scattered points, in many small cells and blocks, with points at the origin and without a vector."""
+    rng = np.random.default_rng(seed)
+    turn = np.linspace(0, 1.5, 40)
+    m = np.vstack([
+        np.repeat(rng.normal(size=(3, 4)), 25, axis=0),
+        rng.normal(size=4) + rng.normal(scale=0.02, size=(60, 4)),
+        np.stack([np.cos(turn), np.sin(turn), 0 * turn, 0 * turn], axis=1),
+        rng.normal(size=(120, 4)),
+        np.zeros((5, 4)),
+    ])
+    m = m[rng.permutation(len(m))]
+    want = dbscan_by_hand(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-10), eps, least)
+    df = faces(spark, [*[(i, v, 0) for i, v in enumerate(m)], (1000, [0.0], 0)]).withColumn("v", F.when(F.col("id") < 1000, F.col("v")))
+    rows = clusters.dbscan(df, "id", "v", eps, least, block_rows=40, sample_rows=100).collect()
+    got = {r.id: r.label for r in rows}
+    assert len(rows) == len(m) + 1 and got[1000] == -1
+    assert [got[i] for i in range(len(m))] == want
+    assert clusters.dbscan(df.limit(0), "id", "v", eps, least).collect() == []
 
 
 def test_centroids_confidence_mapping_merge(spark):
