@@ -7,6 +7,7 @@ one folder for each cell. A search reads the cells nearest to its queries only.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from facetlake.functions.vectors import unit
 
+from .search import active, needs_rebuild
+
 
 def fit_cells(corpus: DataFrame, id_col: str, vec_col: str, cells: int, sample_rows: int = 50_000, seed: int = 1) -> np.ndarray:
     """Centres (cells x dimensions) fitted on about ``sample_rows`` rows, chosen by the hash of their id."""
@@ -49,14 +52,19 @@ def with_cells(rows: DataFrame, centres: np.ndarray, id_col: str, vec_col: str,
 
 def write_index(corpus: DataFrame, centres: np.ndarray, id_col: str, vec_col: str, path: str) -> None:
     """All rows, in a folder for each cell."""
-    with_cells(corpus, centres, id_col, vec_col).repartition("cell", F.pmod(F.xxhash64(id_col), F.lit(8))).write.partitionBy("cell").parquet(path)
+    _write_rows(corpus, centres, id_col, vec_col, path, 0)
+
+
+def _write_rows(rows: DataFrame, centres: np.ndarray, id_col: str, vec_col: str, path: str, batch: int) -> None:
+    placed = with_cells(rows, centres, id_col, vec_col).withColumn("batch", F.lit(batch)).withColumn("place", F.monotonically_increasing_id())
+    placed.repartition("cell", F.pmod(F.xxhash64(id_col), F.lit(8))).write.mode("append").partitionBy("cell").parquet(path)
 
 
-def search_index(spark: SparkSession, path: str, queries: DataFrame, centres: np.ndarray, id_col: str, vec_col: str, k: int, probes: int) -> DataFrame:
+def search_index(spark: SparkSession, path: str, queries: DataFrame, centres: np.ndarray, id_col: str, vec_col: str, k: int, probes: int, deleted: DataFrame | None = None) -> DataFrame:
     """(query_id, id_col, similarity, rank): the best ``k`` among the ``probes`` cells nearest to each query.
 
     The queries are a stated, gathered set. The cells that none of them needs are
-    pruned from the scan.
+    pruned from the scan. Ids in ``deleted`` are not found.
     """
     asked = with_cells(queries, centres, id_col, vec_col, probes).toArrow()
     by_cell: dict[int, tuple[list, np.ndarray]] = {}
@@ -67,6 +75,8 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, centres: np
         by_cell[c] = [ids[i] for i in at], np.array([v[i] for i in at])
     sent = spark.sparkContext.broadcast(by_cell)
     rows = spark.read.parquet(path).where(F.col("cell").isin(list(by_cell)))
+    if deleted is not None:
+        rows = active(rows, deleted, id_col)
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,3 +102,82 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, centres: np
     found = rows.select(id_col, "v", "cell").mapInArrow(run, f"query_id {kind}, `{id_col}` {kind}, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+# -- an index as a folder: rows by cell, centres, deleted ids -----------------------
+
+
+@dataclass
+class VectorIndex:
+    """An index that was opened: its folder, column of ids, centres and kind of ids.
+
+    Rows are only ever appended, each with its batch. An id that is added again is
+    found with all its vectors, and ``vector_of`` gives the last one. Deleted ids are
+    marked, and leave with ``rebuild``. One writer at a time is assumed.
+    """
+
+    spark: SparkSession
+    path: str
+    id_col: str
+    centres: np.ndarray
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/rows")
+
+    @property
+    def deleted(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/deleted")
+
+    def add(self, rows: DataFrame, vec_col: str) -> None:
+        batch = self.rows.agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0] + 1
+        _write_rows(rows, self.centres, self.id_col, vec_col, f"{self.path}/rows", batch)
+
+    def soft_delete(self, ids: DataFrame) -> None:
+        """Marks those ids that are in the index and not marked yet."""
+        known = ids.select(self.id_col).distinct().join(self.rows.select(self.id_col), self.id_col, "left_semi")
+        known.join(self.deleted, self.id_col, "left_anti").write.mode("append").parquet(f"{self.path}/deleted")
+
+    def counts(self) -> tuple[int, int, int]:
+        """(total, active, deleted): vectors, vectors that are not marked, and marked ids."""
+        return self.rows.count(), active(self.rows, self.deleted, self.id_col).count(), self.deleted.count()
+
+    def needs_rebuild(self) -> bool:
+        """Whether more than a tenth is marked."""
+        return needs_rebuild(self.rows.count(), self.deleted.count())
+
+    def vector_of(self, key: object) -> list[float]:
+        """The last vector of an id; an unknown id is an error."""
+        row = self.rows.where(F.col(self.id_col) == key).orderBy(F.desc("batch"), F.desc("place")).select("v").first()
+        if row is None:
+            raise KeyError(key)
+        return list(row[0])
+
+    def search(self, queries: DataFrame, vec_col: str, k: int, probes: int = 8) -> DataFrame:
+        """(query_id, id, similarity, rank) among the ``probes`` nearest cells; an index of one cell is searched whole."""
+        return search_index(self.spark, f"{self.path}/rows", queries, self.centres, self.id_col, vec_col, k, min(probes, len(self.centres)), self.deleted)
+
+    def rebuild(self, path: str, cells: int = 0) -> VectorIndex:
+        """A new index in another folder, of the rows that are not marked, with centres fitted anew."""
+        return create(active(self.rows, self.deleted, self.id_col).select(self.id_col, "v"), self.id_col, "v", path, cells)
+
+
+def create(corpus: DataFrame, id_col: str, vec_col: str, path: str, cells: int = 0, sample_rows: int = 50_000) -> VectorIndex:
+    """Writes an index. It has ``cells`` cells where there are at least ten rows for each, else one: a flat index."""
+    spark = corpus.sparkSession
+    if cells > 0 and corpus.limit(10 * cells).count() == 10 * cells:
+        centres = fit_cells(corpus, id_col, vec_col, cells, sample_rows)
+    else:
+        first = corpus.select(F.size(vec_col)).first()
+        centres = np.zeros((1, first[0] if first else 1))
+    _write_rows(corpus, centres, id_col, vec_col, f"{path}/rows", 0)
+    corpus.select(id_col).limit(0).write.parquet(f"{path}/deleted")
+    saved = [(i, c.tolist()) for i, c in enumerate(centres)]
+    spark.createDataFrame(saved, "cell int, centre array<double>").write.parquet(f"{path}/centres")
+    return VectorIndex(spark, path, id_col, centres)
+
+
+def load(spark: SparkSession, path: str, id_col: str) -> VectorIndex:
+    """Opens an index that ``create`` wrote."""
+    saved = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
+    return VectorIndex(spark, path, id_col, np.array([r["centre"] for r in saved]))

@@ -55,28 +55,30 @@ def vector_of(corpus: DataFrame, id_col: str, vec_col: str, key: object) -> list
     return list(row[0])
 
 
-def top_neighbours(queries: DataFrame, corpus: DataFrame, id_col: str, vec_col: str, k: int, block_rows: int = 20_000) -> DataFrame:
+def top_neighbours(queries: DataFrame, corpus: DataFrame, id_col: str, vec_col: str, k: int, block_rows: int = 20_000, scale: bool = True) -> DataFrame:
     """(query_id, id_col, similarity, rank): for each query its ``k`` most similar rows of ``corpus``, itself left out.
 
     A stated query set against all rows: queries are gathered in blocks of
     ``block_rows`` and sent to the tasks; each task keeps the best ``k`` of its own
-    rows for every query, and those few meet in one ranking by query.
+    rows for every query, and those few meet in one ranking by query. Without ``scale``
+    vectors are compared as they are, by their inner product.
     """
     first = None
+    ready = _rows_to_unit if scale else np.asarray
     gathered = queries.select(F.col(id_col).alias("id"), vec_col).orderBy("id").toArrow()
     kind = corpus.schema[id_col].dataType.simpleString()
     for lo in range(0, max(len(gathered), 1), block_rows):
         part = gathered.slice(lo, block_rows)
         ids = part.column(0).to_pylist()
         matrix = np.array(part.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
-        sent = corpus.sparkSession.sparkContext.broadcast((ids, _rows_to_unit(matrix)))
+        sent = corpus.sparkSession.sparkContext.broadcast((ids, ready(matrix)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             query_ids, q = sent.value
             best: dict[int, list[tuple[float, object]]] = {}
             for batch in batches:
                 own = batch.column(0).to_pylist()
-                v = _rows_to_unit(np.array(batch.column(1).to_pylist(), np.float64).reshape(len(own), -1))
+                v = ready(np.array(batch.column(1).to_pylist(), np.float64).reshape(len(own), -1))
                 if not len(own) or not len(query_ids):
                     continue
                 scores = np.round(v @ q.T, 6)

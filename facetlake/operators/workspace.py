@@ -7,11 +7,17 @@ joins and expressions on the whole table, one after another.
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clusters import NOISE
+from .numbering import cut
 
 
 def apply_operations(members: DataFrame, log: list[dict], photo: str = "photo", cluster: str = "cluster") -> DataFrame:
@@ -95,6 +101,55 @@ def unique_destinations(plan: DataFrame, folder: str, path: str) -> DataFrame:
     return kept.select(*columns).unionByName(told.select(*columns))
 
 
+def _transfer(source: str, target: str, copy: bool) -> str | None:
+    """Copies or moves a file under its final name in one step, so that a task may run again; an error as text."""
+    try:
+        if not copy and not os.path.exists(source) and os.path.exists(target):
+            return None  # moved by an attempt that was lost
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        part = f"{target}.{uuid.uuid4().hex}.part"
+        try:
+            shutil.copy2(source, part)
+            os.replace(part, target)
+        finally:
+            if os.path.exists(part):
+                os.remove(part)
+        if not copy:
+            os.remove(source)
+    except OSError as problem:
+        return f"{type(problem).__name__}: {problem}"
+    return None
+
+
+def execute_plan(plan: DataFrame, path: str, root: str, copy: bool = True, dry_run: bool = False) -> DataFrame:
+    """(path, dest, state, error): ``copy`` or ``move`` for each file of a plan with ``dest``, ``error`` where that failed.
+
+    ``root`` and the files lie on a file system that all executors mount. A dry run
+    touches nothing and every file is ``skipped``. A file goes to several folders of a plan; a plan that moves
+    files has to name each once, which is checked. The states are stored, so reading them does no file work again.
+    """
+    rows = plan.select(F.col(path).alias("path"), "dest")
+    if dry_run:
+        return rows.select("path", "dest", F.lit("skipped").alias("state"), F.lit(None).cast("string").alias("error"))
+    if not copy and rows.groupBy("path").count().where("count > 1").limit(1).count():
+        raise ValueError("a plan that moves files names one of them more than once")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, dests = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            errors = [_transfer(p.removeprefix("file:"), os.path.join(root, d), copy) for p, d in zip(paths, dests, strict=True)]
+            states = ["error" if e else "copy" if copy else "move" for e in errors]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(states, pa.string()), pa.array(errors, pa.string())], names=["path", "dest", "state", "error"])
+
+    return cut(rows.mapInArrow(run, "path string, dest string, state string, error string"))
+
+
+def plan_counts(states: DataFrame) -> DataFrame:
+    """(done, skipped, errors) of a plan that was carried out."""
+    of = lambda *names: F.count(F.when(F.col("state").isin(*names), 1))
+    return states.agg(of("copy", "move").alias("done"), of("skipped").alias("skipped"), of("error").alias("errors"))
+
+
 def rename_operations(names: dict[int, str], cluster: int, name: str) -> tuple[dict[int, str], list[dict]]:
     """The names and the operations that a new name makes: another cluster of the same name takes this one in."""
     same = [c for c, n in names.items() if n == name and name and c != cluster]
