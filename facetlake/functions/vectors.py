@@ -53,13 +53,13 @@ def blended(face: Column, head: Column, weight: float) -> Column:
     return F.when(head.isNull(), near).otherwise((1 - weight) * near + weight * far)
 
 
-def composite(face: Column, head: Column, size: int, weight: float) -> Column:
-    """One vector for a face and its head: 1 - the inner product of two of them is their blended distance.
+def composite(face: Column, head: Column, weight: float) -> Column:
+    """One vector for a face with a head: 1 - the inner product of two of them is their blended distance.
 
-    The face's direction by the root of 1 - w, then the head's (of ``size`` places) by the root of w. A head that is
-    missing is a zero vector, at distance 1 from every other head; so these vectors are compared without scaling.
+    The face's direction by the root of 1 - w, then the head's by the root of w. A zero vector keeps distance 1 from
+    all others, so these vectors are compared without scaling. Null without a head.
     """
     if not 0 <= weight <= 1:
         raise ValueError("weight lies between 0 and 1")
     side = lambda v, w: F.transform(unit(v), lambda x: x * F.lit(w**0.5))
-    return F.concat(side(face, 1 - weight), side(F.coalesce(doubles(head), F.array_repeat(F.lit(0.0), size)), weight))
+    return F.concat(side(face, 1 - weight), side(head, weight))

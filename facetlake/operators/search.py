@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetlake.functions.vectors import cosine
+from facetlake.functions.vectors import composite, cosine, unit
 
 
 def search(
@@ -100,6 +100,21 @@ def top_neighbours(queries: DataFrame, corpus: DataFrame, id_col: str, vec_col:
     return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def blended_neighbours(queries: DataFrame, corpus: DataFrame, id_col: str, vec_col: str, head_col: str, k: int, weight: float = 0.2) -> DataFrame:
+    """(query_id, id_col, similarity, rank) by 1 - the blended distance of faces and heads.
+
+    Where one of two faces has no head (null), their faces alone count. So queries and corpus are
+    parted by whether they have one, and each part is a search of its own.
+    """
+    alone = lambda rows: rows.select(id_col, unit(F.col(vec_col)).alias("_v"))
+    both = lambda rows: rows.where(F.col(head_col).isNotNull()).select(id_col, composite(F.col(vec_col), F.col(head_col), weight).alias("_v"))
+    headed, bare = (lambda rows: rows.where(F.col(head_col).isNotNull())), (lambda rows: rows.where(F.col(head_col).isNull()))
+    parts = [(both(queries), both(corpus)), (alone(headed(queries)), alone(bare(corpus))), (alone(bare(queries)), alone(corpus))]
+    found = [top_neighbours(q, c, id_col, "_v", k, scale=False).drop("rank") for q, c in parts]
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col)
+    return found[0].unionByName(found[1]).unionByName(found[2]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def _rows_to_unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-10) if m.size else m
 

@@ -6,12 +6,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetlake.functions import boxes, calendar, quality, zero_shot
 from facetlake.functions.vectors import blended, cosine
-from facetlake.operators import albums, classify, clusters, jobs, search, stores, workspace
+from facetlake.operators import albums, classify, clusters, index, jobs, search, stores, workspace
+from facetlake.operators.numbering import shared_dir
 from facetlake.sources.tables import table
 
 from .registry import QUERIES, SQL, Query, query
@@ -199,6 +202,36 @@ def composite_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faces.select("vec_id", F.round(distance, 5).alias("distance"))
 
 
+@query(
+    """WITH v AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS f, CASE WHEN vec_id % 7 <> 0 THEN embedding[33:64]::DOUBLE[] END AS h FROM embeddings)
+    SELECT a.vec_id AS query_id, b.vec_id, round(CASE WHEN a.h IS NULL OR b.h IS NULL THEN list_cosine_similarity(a.f, b.f)
+      ELSE 0.8 * list_cosine_similarity(a.f, b.f) + 0.2 * list_cosine_similarity(a.h, b.h) END, 6) AS similarity,
+      row_number() OVER (PARTITION BY a.vec_id ORDER BY similarity DESC, b.vec_id) AS rank
+    FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 5"""
+)
+def composite_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh face has no head."""
+    head = F.when(F.col("vec_id") % 7 != 0, F.slice("embedding", 33, 32))
+    faces = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("face"), head.alias("head"))
+    return search.blended_neighbours(faces.where("vec_id % 50 = 0"), faces, "vec_id", "face", "head", 5)
+
+
+@query(
+    f"""WITH {U}, k AS (SELECT * FROM u WHERE vec_id % 6 <> 1)
+    SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v), 6) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY similarity DESC, b.vec_id) AS rank
+    FROM u a, k b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 3"""
+)
+def kept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of cells: written, opened, appended to, marked, built anew and searched in all its cells."""
+    faces = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.create(faces.where("vec_id % 6 <> 0"), "vec_id", "embedding", f"{path}-1", cells=4)
+    first = index.load(spark, f"{path}-1", "vec_id")
+    first.add(faces.where("vec_id % 6 = 0"), "embedding")
+    first.soft_delete(faces.where("vec_id % 6 = 1"))
+    return first.rebuild(f"{path}-2", cells=4).search(faces.where("vec_id % 50 = 0"), "embedding", 3, probes=4)
+
+
 # -- classification -------------------------------------------------------------
 
 NEAR = f"""WITH {U}, n AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_dot_product(a.v, b.v), 6) AS s,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetlake.functions import boxes
+from facetlake.functions.vectors import composite
 from facetlake.operators import clusters, search, workspace
 
 
@@ -32,12 +33,39 @@ def cluster_faces(faces: DataFrame, s: SimpleNamespace) -> DataFrame:
     if s.auto_eps:
         near = search.top_neighbours(faces, faces, "face_id", "embedding", 5)
         eps = clusters.elbow(clusters.k_distances(near, 5)).first()["eps"]
-    labelled = faces.join(clusters.dbscan(faces, "face_id", "embedding", eps, s.min_samples), "face_id")
+    return _merged(faces.join(clusters.dbscan(faces, "face_id", "embedding", eps, s.min_samples), "face_id"), s)
+
+
+def _merged(labelled: DataFrame, s: SimpleNamespace) -> DataFrame:
     new = clusters.merged_labels(labelled, "label", "embedding", s.merge_threshold, s.min_reliable_size, s.small_merge_threshold)
     number = F.element_at(F.create_map(*[F.lit(x) for pair in new.items() for x in pair]), F.col("label"))
     return labelled.withColumn("label", number.cast("int"))
 
 
+def recluster(faces: DataFrame, s: SimpleNamespace, names: dict[int, str], head_col: str | None = None, weight: float = 0.2) -> tuple[DataFrame, dict[int, str]]:
+    """(faces with new labels, names): stored faces clustered with other settings; a number that is still there keeps its name.
+
+    With ``head_col`` the distance blends faces and heads, and ``eps`` is of that distance; every face needs a head then.
+    Fewer than two faces, and settings under which no cluster is left, are errors.
+    """
+    if faces.limit(2).count() < 2:
+        raise ValueError("needs at least two faces")
+    if head_col is None:
+        made = cluster_faces(faces.drop("label"), s)
+    else:
+        if faces.where(F.col(head_col).isNull()).limit(1).count():
+            raise ValueError("a face has no head")
+        rows = faces.drop("label").withColumn("_both", composite(F.col("embedding"), F.col(head_col), weight))
+        # The vectors have length 1, so half the square of their distance is the blended one.
+        labels = clusters.dbscan(rows, "face_id", "_both", (2 * s.eps) ** 0.5, s.min_samples)
+        made = _merged(rows.drop("_both").join(labels, "face_id"), s)
+    made = clusters.cut(made)
+    left = {r[0] for r in made.where(F.col("label") != clusters.NOISE).select("label").distinct().collect()}
+    if not left:
+        raise ValueError("no cluster is left under these settings")
+    return made, {c: n for c, n in names.items() if c in left}
+
+
 def run(images: DataFrame, faces: DataFrame, s: SimpleNamespace) -> PhotoResult:
     """``images``: (path, width, height, error, skipped); ``faces``: (path, face_index, box, confidence, quality, embedding)."""
     rows = usable(faces, s).join(images.where(F.col("error").isNull()).select("path", "width", "height"), "path")

@@ -43,3 +43,21 @@ def test_pipeline(spark):
 def test_when_to_optimise():
     assert photo_pipeline.should_optimise(1, 0, force=True)
     assert not photo_pipeline.should_optimise(50, 9000) and photo_pipeline.should_optimise(6000, 5000)
+
+
+def test_clustering_anew(spark):
+    rng = np.random.default_rng(3)
+    faces = [(f"f{i}", (np.eye(8)[i % 2] + rng.normal(scale=0.01, size=8)).tolist(), np.eye(4)[i // 6].tolist(), 0) for i in range(12)]
+    df = spark.createDataFrame(faces, "face_id string, embedding array<double>, head array<double>, label int")
+    s = settings({"eps": 0.1, "min_samples": 2, "merge_threshold": 1.0, "small_merge_threshold": 1.0})
+    made, names = photo_pipeline.recluster(df, s, {0: "Ann", 1: "Bo", 2: "Cy", 3: "Di", 9: "gone"})
+    assert made.select("label").distinct().count() == 2 and names == {0: "Ann", 1: "Bo"}
+    made, names = photo_pipeline.recluster(df, s, {0: "Ann", 3: "Di", 9: "gone"}, head_col="head", weight=0.2)
+    got = {}
+    for r in made.collect():
+        got.setdefault(r.label, set()).add(r.face_id)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(f"f{i}" for i in range(12) if (i % 2, i // 6) == k) for k in [(0, 0), (0, 1), (1, 0), (1, 1)])
+    assert names == {0: "Ann", 3: "Di"}
+    for bad in (df.limit(1), df.withColumn("embedding", df.embedding).where("face_id in ('f0', 'f1')")):
+        with pytest.raises(ValueError):
+            photo_pipeline.recluster(bad, s, {})
