@@ -282,8 +282,9 @@ def find_pii(
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: strict spans counted and digested, all spans listed.
 
-    Returns (id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans). A row
-    without spans has zero counts, the digest of the empty string and ''.
+    Returns (id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_base, n_spans);
+    the last two count the strict spans and all. A row without spans has zero
+    counts, the digest of the empty string and ''.
     """
     rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)])
     spans = find_pii(docs, id_col, text_col)
@@ -294,7 +295,7 @@ def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     strict = F.filter("all", lambda s: s["strict"])
     joined = lambda a: F.concat_ws(",", F.transform(a, lambda s: s["label"]))
-    per_doc = per_doc.select("_id", "_th", *[f"n_{k}" for k in KINDS], joined(strict).alias("base"), joined(F.col("all")).alias("spans"))
+    per_doc = per_doc.select("_id", "_th", *[f"n_{k}" for k in KINDS], joined(strict).alias("base"), joined(F.col("all")).alias("spans"), F.size(strict).alias("n_base"), F.size("all").alias("n_spans"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_row"), F.xxhash64(text).alias("_text"))
     same = F.col("_row").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_th"))
@@ -303,4 +304,5 @@ def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
+        *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_base", "n_spans")],
     )

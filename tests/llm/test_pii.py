@@ -42,6 +42,7 @@ def check(spark, texts):
         assert set(want) <= set(filter(None, got[i].spans.split(",")))
         for k in BASE:
             assert got[i][f"n_{k}"] == sum(x.startswith(k) for x in want)
+        assert (got[i].n_base, got[i].n_spans) == (len(want), len(list(filter(None, got[i].spans.split(",")))))
     return got
 
 
