@@ -30,3 +30,21 @@ def short_label(label: Column) -> Column:
 def first_seen_union(*tags: Column) -> Column:
     """All tags in order of first appearance, without repeats; null arrays count as empty."""
     return F.array_distinct(F.concat(*[F.coalesce(t, F.array().cast("array<string>")) for t in tags]))
+
+
+def block_results(probabilities: Column, blocks: dict[str, list[str]], least: float = 0.1) -> Column:
+    """array<struct<category, tag, scores>>: the likeliest label of each block, the first of equals, and all above ``least``.
+
+    ``blocks`` name the labels in the order of the probabilities; what comes after them is not read. A block that the
+    probabilities do not fill has no tag and no scores.
+    """
+    made, start = [], 1
+    for category, labels in blocks.items():
+        part = F.slice(probabilities, start, len(labels))
+        whole = F.size(part) == len(labels)
+        names = F.array(*[F.lit(x) for x in labels])
+        tag = F.when(whole, F.element_at(names, F.array_position(part, F.array_max(part)).cast("int")))
+        scores = F.map_from_entries(F.filter(F.arrays_zip(names.alias("label"), part.alias("score")), lambda s: s["score"] > least))
+        made.append(F.struct(F.lit(category).alias("category"), tag.alias("tag"), F.when(whole, scores).alias("scores")))
+        start += len(labels)
+    return F.array(*made)

@@ -22,6 +22,14 @@ from facetlake.functions.pixels import decoded
 BOX = "struct<top:int,right:int,bottom:int,left:int>"
 FACE = f"struct<box:{BOX},confidence:double,landmarks:array<array<double>>>"
 
+IMAGE = "struct<height:int,width:int,nChannels:int,data:binary>"
+
+#: Where the left and right eye, the nose and the corners of the mouth go in a square of 112 pixels.
+TEMPLATE = np.array([[38.0, 42.0], [74.0, 42.0], [56.0, 62.0], [38.0, 74.0], [74.0, 74.0]])
+TEMPLATE_SIZE = 112
+#: Fixed value: eyes nearer than this many pixels are not aligned.
+EYES_APART = 20.0
+
 Detector = Callable[[np.ndarray], list[tuple[dict, float, list | None]]]
 Encoder = Callable[[np.ndarray, dict], np.ndarray | None]
 
@@ -72,6 +80,44 @@ def encode(faces: DataFrame, load: Callable[[], Encoder], box: str = "box") -> D
     return _each(faces, load, call, "embedding", "array<double>")
 
 
+def aligned(pixels: np.ndarray, landmarks: list | None, size: int = TEMPLATE_SIZE) -> np.ndarray | None:
+    """A square in which the five landmarks lie on the template, by the affine map that fits them best.
+
+    None without five landmarks, with eyes too near each other, or with landmarks on one line. Places between pixels
+    are interpolated; what lies outside the image is black.
+    """
+    points = np.array(landmarks or [], np.float64)
+    if points.shape != TEMPLATE.shape or np.hypot(*(points[1] - points[0])) < EYES_APART or np.linalg.matrix_rank(points - points.mean(0)) < 2:
+        return None
+    target = TEMPLATE * (size / TEMPLATE_SIZE)
+    back = np.linalg.lstsq(np.c_[target, np.ones(5)], points, rcond=None)[0]  # from the square to the image
+    y, x = np.mgrid[:size, :size]
+    at = np.c_[x.ravel(), y.ravel(), np.ones(size * size)] @ back
+    low = np.floor(at).astype(np.int64)
+    share = at - low
+    out = np.zeros((size * size, 3))
+    for dx in (0, 1):
+        for dy in (0, 1):
+            px, py = low[:, 0] + dx, low[:, 1] + dy
+            inside = (px >= 0) & (py >= 0) & (px < pixels.shape[1]) & (py < pixels.shape[0])
+            weight = np.abs(1 - dx - share[:, 0]) * np.abs(1 - dy - share[:, 1])
+            out[inside] += weight[inside, None] * pixels[py[inside], px[inside]]
+    return out.reshape(size, size, 3)
+
+
+def align(faces: DataFrame, landmarks: str = "landmarks", size: int = TEMPLATE_SIZE) -> DataFrame:
+    """Faces with ``aligned``, an image like those of the source, null where a face can't be aligned; and ``error``."""
+
+    def call(model: None, pixels: np.ndarray, row: dict) -> dict | None:
+        square = aligned(pixels, row[landmarks], size)
+        if square is None:
+            return None
+        data = np.rint(square[:, :, ::-1]).astype(np.uint8).tobytes()
+        return {"height": size, "width": size, "nChannels": 3, "data": data}
+
+    return _each(faces, lambda: None, call, "aligned", IMAGE)
+
+
 def encode_missing(faces: DataFrame, cache: DataFrame, keys: list[str], load: Callable[[], Encoder], box: str = "box") -> DataFrame:
     """Faces with vectors from ``cache`` where path, fingerprint and settings (``keys``) agree; only the others are encoded."""
     known = cache.dropDuplicates(keys).select(*keys, "embedding")

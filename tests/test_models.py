@@ -4,9 +4,11 @@ import os
 
 import numpy as np
 import pytest
+from facetlake.functions.zero_shot import block_results
 from facetlake.operators import models, workspace
+from pyspark.sql import functions as F
 
-IMAGE = "struct<height:int,width:int,nChannels:int,data:binary>"
+IMAGE = models.IMAGE
 
 
 def _load_detector():
@@ -63,3 +65,28 @@ def test_plans_are_carried_out(spark, tmp_path):
     assert not (tmp_path / "a.jpg").exists() and os.listdir(f"{moved}/person_00") == ["a.jpg"]
     with pytest.raises(ValueError):
         workspace.execute_plan(plan.unionAll(plan), "path", moved, copy=False)
+
+
+def test_alignment(spark):
+    pixels = np.zeros((300, 300, 3))
+    pixels[:, :, 0], pixels[:, :, 1] = np.arange(300)[None, :] * 0.8, np.arange(300)[:, None] * 0.8
+    points = models.TEMPLATE * 1.5 + [40, 20]
+    square = models.aligned(pixels, points.tolist())
+    y, x = np.mgrid[:112, :112]
+    assert np.allclose(square[:, :, 0], 0.8 * (1.5 * x + 40)) and np.allclose(square[:, :, 1], 0.8 * (1.5 * y + 20))
+    near = (models.TEMPLATE * 0.5).tolist()
+    line = [[30.0 * i, 10.0] for i in range(5)]
+    assert [models.aligned(pixels, p) for p in (None, points[:4].tolist(), near, line)] == [None] * 4
+    data = np.rint(pixels[:, :, ::-1]).astype(np.uint8).tobytes()
+    rows = [("a", (300, 300, 3, data), points.tolist()), ("b", (300, 300, 3, data), None), ("c", None, points.tolist())]
+    got = {r.path: r for r in models.align(spark.createDataFrame(rows, f"path string, image {IMAGE}, landmarks array<array<double>>")).collect()}
+    made = np.frombuffer(got["a"].aligned.data, np.uint8).reshape(112, 112, 3)[:, :, ::-1]
+    assert np.abs(made - square).max() <= 1.0 and got["a"].error is None
+    assert got["b"].aligned is None and got["b"].error is None and got["c"].error == "image can't be decoded"
+
+
+def test_blocks_of_labels(spark):
+    rows = spark.createDataFrame([([0.1, 0.5, 0.5, 0.05, 0.9, 7.0],), ([0.2, 0.3],), (None,)], "p array<double>")
+    got = rows.select(block_results(F.col("p"), {"scene": ["x", "y", "z"], "style": ["s", "t"]}).alias("r")).collect()
+    assert [(b.category, b.tag, b.scores) for b in got[0].r] == [("scene", "y", {"y": 0.5, "z": 0.5}), ("style", "t", {"t": 0.9})]
+    assert [(b.tag, b.scores) for r in got[1:] for b in r.r] == [(None, None)] * 4
