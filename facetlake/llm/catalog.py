@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, quality, url_filter
 from .exact_dedup import exact_dedup
+from .filter_audit import audit
 from .jaccard_join import jaccard_components
 from .pii import pii_report
 from .sentencepiece_bpe import encode_texts
 from .sharding import shard_documents
 from .storage import fresh_path
 from .warc import archive_report
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,6 +179,61 @@ FROM t
 """
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), orders AS (
+  SELECT f AS filter_order, 1 AS k FROM letters
+  UNION ALL
+  SELECT filter_order || f, k + 1 FROM orders, letters WHERE k < 5 AND NOT contains(filter_order, f)
+), t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS txt,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), marked AS (
+  SELECT doc_id, part, length(txt) AS chars, length(regexp_replace(txt, '[^A-Z]', '', 'g')) AS capitals, len(words) AS n_words,
+         len(list_distinct(words)) AS n_distinct, regexp_matches(txt, '[#$%&*|]') AS marks, min(doc_id) OVER (PARTITION BY txt) AS first_id
+  FROM t
+), failed AS (
+  SELECT part, doc_id,
+         CASE WHEN n_words < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * n_distinct < 65 * n_words THEN 'B' ELSE '' END ||
+         CASE WHEN 100 * capitals > 5 * chars THEN 'C' ELSE '' END || CASE WHEN marks THEN 'D' ELSE '' END ||
+         CASE WHEN first_id < doc_id THEN 'E' ELSE '' END AS fails
+  FROM marked
+), labelled AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), patterns AS (
+  SELECT part, fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n
+  FROM failed LEFT JOIN labelled USING (doc_id) GROUP BY 1, 2, 3, 4
+), steps AS (
+  SELECT p.*, filter_order, s.step, substr(filter_order, s.step, 1) AS f,
+         length(regexp_extract(filter_order, CASE WHEN fails = '' THEN '^[A-E]*' ELSE '^[^' || fails || ']*' END)) + 1 AS falls_at
+  FROM patterns p, (SELECT filter_order FROM orders WHERE k = 5) o, (SELECT unnest([1, 2, 3, 4, 5]) AS step) s
+), counted AS (
+  SELECT part, filter_order, step, f,
+         sum(CASE WHEN falls_at > step THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN falls_at = step THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN falls_at < step AND contains(fails, f) THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN falls_at = step THEN n * good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN falls_at = step THEN n * toxic ELSE 0 END) AS toxic_lost
+  FROM steps GROUP BY 1, 2, 3, 4
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -189,6 +246,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_pii": op9_pii,
         "op10_exact_dedup": op10_exact_dedup,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_whitening": op13_whitening,
     }
 
 
@@ -198,4 +257,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_jaccard_join": OP6_SQL,
         "op8_warc": OP8_SQL,
         "op10_exact_dedup": OP10_SQL,
+        "op12_filter_audit": OP12_SQL,
     }
