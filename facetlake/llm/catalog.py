@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, quality, url_filter
+from .embedding_dedup import near_duplicates
 from .exact_dedup import exact_dedup
 from .filter_audit import audit
 from .jaccard_join import jaccard_components
@@ -179,6 +180,30 @@ FROM t
 """
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), n AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS length FROM v
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.length * b.length) >= 0.9
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), c AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+"""
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -246,6 +271,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_pii": op9_pii,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_embedding_dedup": op11_embedding_dedup,
         "op12_filter_audit": op12_filter_audit,
         "op13_whitening": op13_whitening,
     }
@@ -257,5 +283,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_jaccard_join": OP6_SQL,
         "op8_warc": OP8_SQL,
         "op10_exact_dedup": OP10_SQL,
+        "op11_embedding_dedup": OP11_SQL,
         "op12_filter_audit": OP12_SQL,
     }
