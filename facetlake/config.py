@@ -24,7 +24,10 @@ SETTINGS: dict[str, tuple[object, Callable[[object], bool]]] = {
     "detection_confidence": (0.5, _within(0, 1)),
     "min_face_size": (40, _within(1)),
     "min_face_quality": (0.15, _within(0, 1)),
-    "cluster_method": ("dbscan", _one_of("dbscan")),
+    "cluster_method": ("dbscan", _one_of("dbscan", "hdbscan")),
+    "min_cluster_size": (2, _within(2)),
+    "cluster_selection_epsilon": (0.0, _within(0)),
+    "cluster_selection_method": ("eom", _one_of("eom", "leaf")),
     "eps": (0.5, _within(1e-9)),
     "min_samples": (2, _within(1)),
     "auto_eps": (False, _flag),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from facetlake.functions import boxes
 from facetlake.functions.vectors import composite
 from facetlake.operators import clusters, search, workspace
+from facetlake.operators.hierarchy import hdbscan
 
 
 @dataclass
@@ -28,7 +29,9 @@ def usable(faces: DataFrame, s: SimpleNamespace) -> DataFrame:
 
 
 def cluster_faces(faces: DataFrame, s: SimpleNamespace) -> DataFrame:
-    """(face_id, path, label, ...): density clusters, then similar clusters merged."""
+    """(face_id, path, label, ...): density clusters, flat or hierarchical, then similar clusters merged."""
+    if s.cluster_method == "hdbscan":
+        return _merged(faces.join(_hierarchical(faces, "embedding", s), "face_id"), s)
     eps = s.eps
     if s.auto_eps:
         near = search.top_neighbours(faces, faces, "face_id", "embedding", 5)
@@ -36,6 +39,11 @@ def cluster_faces(faces: DataFrame, s: SimpleNamespace) -> DataFrame:
     return _merged(faces.join(clusters.dbscan(faces, "face_id", "embedding", eps, s.min_samples), "face_id"), s)
 
 
+def _hierarchical(faces: DataFrame, vec_col: str, s: SimpleNamespace, half_square: bool = False) -> DataFrame:
+    """(face_id, label, probability)."""
+    return hdbscan(faces, "face_id", vec_col, s.min_samples, s.min_cluster_size, s.cluster_selection_epsilon, s.cluster_selection_method, half_square)
+
+
 def _merged(labelled: DataFrame, s: SimpleNamespace) -> DataFrame:
     new = clusters.merged_labels(labelled, "label", "embedding", s.merge_threshold, s.min_reliable_size, s.small_merge_threshold)
     number = F.element_at(F.create_map(*[F.lit(x) for pair in new.items() for x in pair]), F.col("label"))
@@ -57,7 +65,8 @@ def recluster(faces: DataFrame, s: SimpleNamespace, names: dict[int, str], head_
             raise ValueError("a face has no head")
         rows = faces.drop("label").withColumn("_both", composite(F.col("embedding"), F.col(head_col), weight))
         # The vectors have length 1, so half the square of their distance is the blended one.
-        labels = clusters.dbscan(rows, "face_id", "_both", (2 * s.eps) ** 0.5, s.min_samples)
+        flat = s.cluster_method == "dbscan"
+        labels = clusters.dbscan(rows, "face_id", "_both", (2 * s.eps) ** 0.5, s.min_samples) if flat else _hierarchical(rows, "_both", s, True)
         made = _merged(rows.drop("_both").join(labels, "face_id"), s)
     made = clusters.cut(made)
     left = {r[0] for r in made.where(F.col("label") != clusters.NOISE).select("label").distinct().collect()}

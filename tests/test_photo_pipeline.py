@@ -61,3 +61,17 @@ def test_clustering_anew(spark):
     for bad in (df.limit(1), df.withColumn("embedding", df.embedding).where("face_id in ('f0', 'f1')")):
         with pytest.raises(ValueError):
             photo_pipeline.recluster(bad, s, {})
+
+
+def test_hierarchical_method(spark):
+    rng = np.random.default_rng(5)
+    faces = [(f"f{i}", f"/p/{i}.jpg", (np.eye(8)[i % 2] + rng.normal(scale=0.01, size=8)).tolist(), np.eye(4)[i // 6].tolist(), 0) for i in range(12)]
+    df = spark.createDataFrame(faces, "face_id string, path string, embedding array<double>, head array<double>, label int")
+    s = settings({"cluster_method": "hdbscan", "min_cluster_size": 3})
+    made = {r.face_id: r.label for r in photo_pipeline.cluster_faces(df.drop("label"), s).collect()}
+    assert len({made[f"f{i}"] for i in range(0, 12, 2)}) == 1 == len({made[f"f{i}"] for i in range(1, 12, 2)}) and made["f0"] != made["f1"]
+    both, _ = photo_pipeline.recluster(df, s, {}, "head", 0.5)
+    assert {"label", "probability"} <= set(both.columns) and both.count() == 12
+    for bad in ({"min_cluster_size": 1}, {"cluster_selection_method": "x"}, {"cluster_selection_epsilon": -1}):
+        with pytest.raises(ValueError):
+            settings(bad)
