@@ -32,6 +32,7 @@ SHAPE[65:91], SHAPE[97:123], SHAPE[128:], SHAPE[48:58] = 1, 2, 2, 3
 
 #: Rows that a model is fitted on, about.
 MAX_ROWS = 6_000
+MOST_ROWS = 2**31 - 1
 
 
 @dataclass
@@ -108,9 +109,12 @@ def sample_rows(rows: DataFrame, id_col: str = "doc_id", label_col: str = "quali
     """(id_col, label_col) of at most ``max_rows`` ids with a label, the first in a hashed order.
 
     An id that repeats counts once, with its largest label. Null ids and labels are left out.
+    A bound above ``MOST_ROWS``, the most that a limit can be, keeps every id.
     """
     labelled = rows.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     once = labelled.groupBy(id_col).agg(F.max(label_col).alias(label_col))
+    if max_rows > MOST_ROWS:
+        return once
     return once.orderBy(F.xxhash64(F.col(id_col), F.lit("quality")), id_col).limit(max_rows)
 
 
