@@ -10,9 +10,15 @@ tiling marks the longest match of unmarked tokens, then the next, until none of
 ``tile`` tokens is left. Tiles may lie in any order, so a passage with its parts
 rearranged is covered as well.
 
-The test items are the stated query set: they come to the driver a block of about
-``block_tokens`` tokens at a time and are sent to the tasks so, one pass over
-the documents for each block.
+An item is looked up by its rare seeds only. Its most frequent seeds may be left out
+as long as the tokens that they span do not reach the threshold: whatever covers the
+item to the threshold then holds one of the others. So a template that many items
+share pairs no document with all of them. Before tiling, the tokens that the common
+seeds span have to reach the threshold too.
+
+The test items are the stated query set: the driver holds all of them, in blocks of
+about ``block_tokens`` tokens, and sends each block to the tasks; there is one pass
+over the documents for each block.
 """
 
 from __future__ import annotations
@@ -135,34 +141,70 @@ class Tests:
             pairs = np.unique(np.stack([codes, owner.astype(np.uint64)]), axis=1)
             self.by_width[width] = pairs[0], pairs[1].astype(np.int64)
 
-    def found(self, texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
-        """(row, item, tiles) of rows that share a seed with an item."""
+    def rare(self, threshold: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By width, the seeds (codes in order, owners) of which a text has one if it covers an item to ``threshold``.
+
+        Of an item's seeds that other items share too, the most frequent are left out while the tokens that
+        those left out span stay below the threshold.
+        """
+        out = {}
+        for width, (codes, owners) in self.by_width.items():
+            names, at, n = np.unique(codes, return_inverse=True, return_counts=True)
+            kept = np.ones(len(codes), bool)
+            common = np.flatnonzero(n[at] > 1)
+            order = common[np.lexsort((codes[common], -n[at[common]], owners[common]))]
+            for k in np.split(order, np.flatnonzero(np.diff(owners[order])) + 1) if len(order) else []:
+                item = int(owners[k[0]])
+                size, spanned = len(self.items[item]), np.zeros(len(self.items[item]), bool)
+                places = np.argsort(self.seeds[item], kind="stable")
+                own = self.seeds[item][places]
+                for i in k.tolist():
+                    low, high = np.searchsorted(own, codes[i]), np.searchsorted(own, codes[i], "right")
+                    more = spanned.copy()
+                    for p in places[low:high].tolist():
+                        more[p : p + width] = True
+                    if more.sum() < threshold * size:
+                        spanned, kept[i] = more, False
+            out[width] = codes[kept], owners[kept]
+        return out
+
+    def found(self, texts: pa.Array, threshold: float, rare: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+        """(row, item, tiles) of rows that may cover an item to ``threshold``; ``rare`` are the seeds for it."""
         for first, data, hashes, starts, ends, bounds in token_chunks(texts):
-            hits = [self._hits(windows(hashes, w), w, bounds) for w in self.widths]
+            hits = [self._hits(windows(hashes, w), w, bounds, rare[w]) for w in self.widths]
             hits = [h for h in hits if h is not None]
             if not hits:
                 continue
-            row, owner, place, code = (np.concatenate(c) for c in zip(*hits, strict=True))
-            order = np.lexsort((owner, row))
-            row, owner, place, code = row[order], owner[order], place[order], code[order]
-            cut = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
-            last, text = -1, None
-            for a, b in zip(cut.tolist(), np.append(cut[1:], len(row)).tolist(), strict=True):
-                r, k = int(row[a]), int(owner[a])
+            pairs = np.unique(np.concatenate(hits, axis=1), axis=1)
+            last, text, codes = -1, None, {}
+            for r, k in pairs.T.tolist():
                 if r != last:
+                    text, codes, last = None, {}, r
+                width = min(self.tile, len(self.items[k]))
+                if width not in codes:
+                    codes[width] = windows(hashes[bounds[r] : bounds[r + 1]], width)
+                code, seeds = codes[width], self.seeds[k]
+                names = np.sort(seeds)
+                same = names[np.minimum(np.searchsorted(names, code), len(names) - 1)] == code
+                edges = np.zeros(len(self.items[k]) + 1, np.int64)
+                have = np.flatnonzero(np.isin(seeds, code[same]))
+                np.add.at(edges, have, 1)
+                np.add.at(edges, have + width, -1)
+                if (edges.cumsum()[:-1] > 0).sum() < threshold * len(self.items[k]):
+                    continue
+                if text is None:
                     own = slice(bounds[r], bounds[r + 1])
-                    raw = data[starts[own][0] : ends[own][-1]].tobytes()
                     zero = starts[own][0]
+                    raw = data[zero : ends[own][-1]].tobytes()
                     text = np.array([self.names.get(raw[x:y], -1) for x, y in zip((starts[own] - zero).tolist(), (ends[own] - zero).tolist(), strict=True)], np.int64)
-                    last = r
-                item, width = self.items[k], min(self.tile, len(self.items[k]))
-                found = matches(item, text, (self.seeds[k], np.arange(len(self.seeds[k]))), (code[a:b], place[a:b] - bounds[r]), width)
-                yield first + r, k, tiles(item, text, found, width)
-
-    def _hits(self, codes: np.ndarray, width: int, bounds: np.ndarray) -> tuple[np.ndarray, ...] | None:
-        """(row, item, token place, code) of the text's seeds that an item has."""
-        known, owners = self.by_width[width]
-        if not len(codes):
+                place = np.flatnonzero(same)
+                found = matches(self.items[k], text, (seeds, np.arange(len(seeds))), (code[place], place), width)
+                yield first + r, k, tiles(self.items[k], text, found, width)
+
+    def _hits(self, codes: np.ndarray, width: int, bounds: np.ndarray, rare: tuple[np.ndarray, np.ndarray]) -> np.ndarray | None:
+        """(row, item) of the text's seeds that are among the rare ones of an item, as two rows of an array."""
+        known, owners = rare
+        if not len(codes) or not len(known):
             return None
         low = np.searchsorted(known, codes)
         hit = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == codes)
@@ -171,15 +213,15 @@ class Tests:
         hit, row = hit[inside], row[inside]
         if not len(hit):
             return None
-        n = np.searchsorted(known, codes[hit], "right") - low[hit]
+        # A seed that a row repeats counts once.
+        row, at = np.unique(np.stack([row, low[hit]]), axis=1)
+        n = np.searchsorted(known, known[at], "right") - at
         stop = np.cumsum(n)
-        at = np.repeat(low[hit] - (stop - n), n) + np.arange(stop[-1])
-        hit, row = np.repeat(hit, n), np.repeat(row, n)
-        return row, owners[at], hit, codes[hit]
+        return np.stack([np.repeat(row, n), owners[np.repeat(at - (stop - n), n) + np.arange(stop[-1])]])
 
 
 def load_tests(benchmark: DataFrame, tile: int = 5, block_tokens: int = 4_000_000, id_col: str = "item_id", text_col: str = "text") -> list[Tests]:
-    """The items in blocks of about ``block_tokens`` tokens, gathered one after another.
+    """The items in blocks of about ``block_tokens`` tokens; the driver holds all blocks.
 
     An item with fewer than ``tile`` tokens is matched as a whole; one without a token, or with a null text, matches nothing.
     """
@@ -217,14 +259,14 @@ def contaminated(docs: DataFrame, tests: list[Tests], threshold: float = 0.6, id
         return docs.sparkSession.createDataFrame([], schema)
 
     def one(block: Tests) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+        sent = docs.sparkSession.sparkContext.broadcast((block, block.rare(threshold)))
         tile_type = pa.list_(pa.struct([("item_start", pa.int64()), ("doc_start", pa.int64()), ("length", pa.int64())]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tests = sent.value
+            tests, rare = sent.value
             for batch in batches:
                 out = []
-                for row, k, found in tests.found(batch.column(1)):
+                for row, k, found in tests.found(batch.column(1), threshold, rare):
                     covered, size = sum(n for _, _, n in found), len(tests.items[k])
                     if covered >= threshold * size:
                         parts = [{"item_start": p, "doc_start": t, "length": n} for p, t, n in sorted(found)]
@@ -246,13 +288,13 @@ def clean(docs: DataFrame, tests: list[Tests], threshold: float = 0.6, text_col:
     place = docs.columns.index(text_col)
 
     def one(rows: DataFrame, block: Tests) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+        sent = docs.sparkSession.sparkContext.broadcast((block, block.rare(threshold)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tests = sent.value
+            tests, rare = sent.value
             for batch in batches:
                 keep = np.ones(len(batch), bool)
-                for row, k, found in tests.found(batch.column(place)):
+                for row, k, found in tests.found(batch.column(place), threshold, rare):
                     if sum(n for _, _, n in found) >= threshold * len(tests.items[k]):
                         keep[row] = False
                 yield batch.filter(pa.array(keep))

@@ -78,3 +78,22 @@ def test_repeated_rows_and_ids(spark):
     assert got == sorted([(7, 1), (7, 1), (7, 2)] * 2 + [(0, 1), (0, 1), (0, 2)] + [(9, 0)])
     assert [r.doc_id for r in clean(docs, tests).collect()] == [8]
     assert load_tests(benchmark.limit(0)) == []
+
+
+def test_items_that_share_a_template(spark):
+    """A template pairs no document with every item; documents that hold an item's own part are found, over several blocks."""
+    template = "answer the following question with one of the options given below and explain why"
+    rnd = random.Random(9)
+    own = [" ".join(f"q{rnd.randrange(10**6)}" for _ in range(20)) for _ in range(2000)]
+    benchmark = spark.createDataFrame([(i, f"{template} {w}") for i, w in enumerate(own)], "item_id long, text string")
+    texts = [f"{template} nothing of the test {i} " * 3 for i in range(200)] + [f"so {own[7]} and {own[1999]} {template}", f"{template} {own[5][: len(own[5]) // 3]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (4_000_000, 20_000):
+        tests = load_tests(benchmark, block_tokens=block)
+        assert (len(tests) > 1) == (block == 20_000)
+        assert {(r.doc_id, r.item_id) for r in contaminated(docs, tests).collect()} == {(200, 7), (200, 1999)}
+    texts = docs.select("text").toArrow().column(0).combine_chunks()
+    began = time.time()
+    block = load_tests(benchmark)[0]
+    assert {(r, k) for r, k, _ in block.found(texts, 0.6, block.rare(0.6))} == {(200, 7), (200, 1999)}
+    assert time.time() - began < 20
