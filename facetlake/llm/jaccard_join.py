@@ -356,10 +356,11 @@ def _filter(keys: DataFrame, hashed: Column, rows: int) -> tuple[np.ndarray, int
     return out, bits
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, width: int, num: int, den: int, salt: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, width: int, num: int, den: int, salt: int, repeats: bool) -> DataFrame:
     """The pairs (a, b) whose sets link, compared exactly.
 
-    Sets are made again from the texts of the nodes in question. A bitmap of the
+    Sets are made again from the texts of the nodes in question, one for each node also where
+    rows repeat an id. A bitmap of the
     ids of one row for each node lets the scan pass few other rows; the join on
     fingerprints drops those.
     """
@@ -381,6 +382,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, width: int, n
                 yield pa.RecordBatch.from_arrays([fp, pa.array([s.tobytes() for s in own], pa.binary())], names=["fp", "own"])
 
     made = docs.withColumn("p", F.shiftrightunsigned(F.xxhash64("_id"), 64 - bits)).mapInArrow(sets, "fp long, own binary")
+    if repeats:
+        made = made.join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
     joined = (
         pairs.join(made.select(F.col("fp").alias("a"), F.col("own").alias("sa")), "a").join(made.select(F.col("fp").alias("b"), F.col("own").alias("sb")), "b")
     )
@@ -427,6 +430,7 @@ def jaccard_components(
             break
         salt += 1  # two sets with one name: other names for all
     members = made.where("n is not null").select("_id", "n", "fp")
+    repeats = not members.groupBy("_id").count().where("count > 1").isEmpty()
     heads = nodes.select("fp", "_id")
     late = stored(made.where("shingle is not null").select("shingle").distinct(), "late")
     links = tested = labels = None
@@ -438,7 +442,7 @@ def jaccard_components(
         star = star if tested is None else star.join(tested, ["a", "b"], "left_anti")
         near = stored(_near(star, nodes, num, den), "near")
         tested = near if tested is None else tested.unionByName(near)
-        fresh = stored(_verified(near, rows, heads, width, num, den, salt), "links")
+        fresh = stored(_verified(near, rows, heads, width, num, den, salt, repeats), "links")
         links = fresh if links is None else links.unionByName(fresh)
         labels = components(links)
         named = shared.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
@@ -456,7 +460,7 @@ def jaccard_components(
         rest = _divided(stored(rest.select("cell", "fp", "n", "label", "coarse"), "rest"), num, den, region, block)
         more = _recursed(rest, num, den, nearest).join(tested, ["a", "b"], "left_anti")
         more = stored(_near(stored(more, "met"), nodes, num, den), "pairs")
-        fresh = stored(_verified(more, rows, heads, width, num, den, salt), "links")
+        fresh = stored(_verified(more, rows, heads, width, num, den, salt, repeats), "links")
         tested = tested.unionByName(more)
         if not fresh.isEmpty():
             links = links.unionByName(fresh)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -185,6 +186,17 @@ def test_jaccard_empty(spark):
     assert [r.component_id for r in jaccard_components(docs(spark, [None, ""])).orderBy("doc_id").collect()] == [0, 1]
 
 
+def test_jaccard_many_repeated_rows(spark):
+    """Thousands of rows of one id, and of none, with two near texts: one set is compared for each."""
+    a = " ".join(f"w{i}" for i in range(400))
+    b = a.replace("w200 ", "x ")
+    rows = [(1, a)] * 3000 + [(1, b)] * 3000 + [(None, a)] * 500 + [(None, b)] * 500 + [(2, "w1 w2 w3 w4 w5 w6")]
+    began = time.time()
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).groupBy("doc_id", "component_id").count().collect()
+    assert {(r.doc_id, r.component_id, r["count"]) for r in got} == {(1, 1, 6000), (None, 1, 1000), (2, 2, 1)}
+    assert time.time() - began < 60
+
+
 def test_jaccard_repeated_and_missing_ids(spark):
     a, b = "one two three four five six seven", "alpha beta gamma delta epsilon zeta"
     rows = [(5, a), (5, b), (3, a + " "), (None, b.upper()), (None, "some other words stand here now"), (3, a + " ")]
