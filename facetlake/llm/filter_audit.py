@@ -105,7 +105,8 @@ def patterns(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(part, bits, good, toxic, n): how many documents of a part fail exactly these filters and bear these labels."""
     read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.col(text_col).cast("binary").alias("text"))
     kind = read.schema["id"].dataType.simpleString()
-    rows = read.mapInArrow(_measured, f"id {kind}, part string, bits int, digest binary").groupBy("id", "part", "bits", "digest").agg(F.count("*").alias("n"))
+    measured = stored(read.mapInArrow(_measured, f"id {kind}, part string, bits int, digest binary"), "measured")
+    rows = measured.groupBy("id", "part", "bits", "digest").agg(F.count("*").alias("n"))
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
     flag = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c)
     known = rows.where(F.col("id").isNotNull()).join(marks, "id", "left").select("id", "part", "bits", "digest", "n", flag("good"), flag("toxic"))
