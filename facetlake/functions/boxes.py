@@ -147,3 +147,9 @@ def nearest_landmarks(rects: DataFrame, landmarks: DataFrame, image: str, reach:
     near = r.join(m, image).withColumn("_d", far).where(F.col("_d") < reach)
     best = near.groupBy(image, "rect_id").agg(F.min(F.struct("_d", "mark_id")).alias("b")).select(image, "rect_id", F.col("b.mark_id").alias("mark_id"))
     return rects.join(best, [image, "rect_id"], "left")
+
+
+def scaled(box: Column, across: Column, down: Column) -> Column:
+    """A box (top, right, bottom, left) of an image whose sides were multiplied so, cut to whole pixels; null with a null scale."""
+    along = lambda side, by: (box[side] * by).cast("int").alias(side)
+    return F.when(across.isNotNull() & down.isNotNull(), F.struct(along("top", down), along("right", across), along("bottom", down), along("left", across)))
