@@ -10,6 +10,12 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def present(v: Column, size: int | None = None) -> Column:
+    """Whether there is a vector without null entries, of this size if one is given."""
+    whole = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull())
+    return F.coalesce(whole & (F.size(v) == size) if size is not None else whole, F.lit(False))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from facetlake.functions.vectors import unit
+from facetlake.functions.vectors import present, unit
 
 from .clusters import NOISE, _few
 from .numbering import numbered_in_order
@@ -110,8 +110,12 @@ def euclidean_shares(queries: DataFrame, corpus: DataFrame, id_col: str, vec_col
     """(query_id, cluster, share): the shares of clusters among a query's ``k`` nearest other faces, each by 1 / distance.
 
     ``queries`` are a stated, gathered set, compared block by block of the corpus; each task keeps its own best ``k``.
+    Faces without a whole vector, or of another size than the first query's, are left out.
     """
-    asked = _few(queries.select(id_col, F.col(vec_col).cast("array<double>").alias("v")), 100_000).toArrow()
+    whole = queries.where(present(F.col(vec_col)))
+    first = whole.select(F.size(vec_col)).first()
+    size = first[0] if first else 0
+    asked = _few(whole.where(F.size(vec_col) == size).select(id_col, F.col(vec_col).cast("array<double>").alias("v")), 100_000).toArrow()
     ids, vectors = asked.column(0).to_pylist(), np.array(asked.column(1).to_pylist(), np.float64)
     sent = corpus.sparkSession.sparkContext.broadcast((ids, vectors))
     kind, cluster = corpus.schema[id_col].dataType.simpleString(), corpus.schema[label].dataType.simpleString()
@@ -134,7 +138,7 @@ def euclidean_shares(queries: DataFrame, corpus: DataFrame, id_col: str, vec_col
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(d, pa.float64()), pa.array(i), pa.array(c)], schema=pa.schema([("query_id", batch_types[0]), ("d", pa.float64()), (id_col, batch_types[0]), ("cluster", batch_types[1])]))
 
     batch_types = [asked.schema.field(0).type, to_arrow_type(corpus.schema[label].dataType)]
-    rows = corpus.where(F.col(label).isNotNull()).select(id_col, F.col(vec_col).cast("array<double>").alias("v"), label)
+    rows = corpus.where(F.col(label).isNotNull() & present(F.col(vec_col), size)).select(id_col, F.col(vec_col).cast("array<double>").alias("v"), label)
     near = rows.mapInArrow(run, f"query_id {kind}, d double, `{id_col}` {kind}, cluster {cluster}")
     order = Window.partitionBy("query_id").orderBy("d", id_col)
     top = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)

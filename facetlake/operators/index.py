@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetlake.functions.vectors import unit
+from facetlake.functions.vectors import present, unit
 
 from .search import active, needs_rebuild
 
@@ -33,7 +33,7 @@ def fit_cells(corpus: DataFrame, id_col: str, vec_col: str, cells: int, sample_r
 
 
 def with_cells(rows: DataFrame, centres: np.ndarray, id_col: str, vec_col: str, cells: int = 1) -> DataFrame:
-    """(id_col, v, cell): unit vectors with their ``cells`` nearest cells, a row for each."""
+    """(id_col, v, cell): unit vectors with their ``cells`` nearest cells, a row for each; rows without a whole vector of the centres' size are left out."""
     sent = rows.sparkSession.sparkContext.broadcast(centres)
     kind = rows.schema[id_col].dataType.simpleString()
 
@@ -46,7 +46,8 @@ def with_cells(rows: DataFrame, centres: np.ndarray, id_col: str, vec_col: str,
             order = np.argsort(-(v @ c.T), axis=1, kind="stable")[:, :cells]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=[id_col, "v", "cells"])
 
-    made = rows.select(id_col, unit(F.col(vec_col)).alias("v")).mapInArrow(run, f"`{id_col}` {kind}, v array<double>, cells array<int>")
+    whole = rows.where(present(F.col(vec_col), centres.shape[1]))
+    made = whole.select(id_col, unit(F.col(vec_col)).alias("v")).mapInArrow(run, f"`{id_col}` {kind}, v array<double>, cells array<int>")
     return made.select(id_col, "v", F.explode("cells").alias("cell"))
 
 

@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetlake.functions.vectors import unit
+from facetlake.functions.vectors import present, unit
 
 from .clusters import NOISE
 
@@ -40,13 +40,13 @@ def _features(rows: DataFrame, keep: list[str], vec_col: str, frequencies: np.nd
             z = np.sqrt(2 / len(phases)) * np.cos(v @ frequencies + phases)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(z.tolist(), pa.list_(pa.float64()))], names=[*keep, "z"])
 
-    made = rows.select(*keep, unit(F.col(vec_col)).alias("_v")).mapInArrow(run, f"{kinds}, z array<double>")
+    made = rows.where(present(F.col(vec_col), len(frequencies))).select(*keep, unit(F.col(vec_col)).alias("_v")).mapInArrow(run, f"{kinds}, z array<double>")
     return made.select(*keep, array_to_vector("z").alias("features"))
 
 
 def train(rows: DataFrame, vec_col: str, label: str, features: int = 256, gamma: float = 1.0, seed: int = 1) -> KernelClassifier | None:
-    """None if there are fewer than two classes; noise is no class."""
-    known = rows.where(F.col(label) != NOISE)
+    """None if there are fewer than two classes; noise is no class. Rows without a whole vector are left out, here and in ``predict``."""
+    known = rows.where((F.col(label) != NOISE) & present(F.col(vec_col)))
     labels = sorted(r[0] for r in known.select(label).distinct().collect())
     if len(labels) < 2:
         return None

@@ -116,10 +116,12 @@ CHANGEABLE = ["name", "path", "photo_count", "last_opened_at"]
 def library_versions(versions: DataFrame, changes: DataFrame) -> DataFrame:
     """The log with a new version of each changed library; only ``CHANGEABLE`` fields that are given (not null) change.
 
-    A change of a library that is not there, or was deleted, does nothing.
+    A change of a library that is not there, or was deleted, does nothing. Of several changes of one library each field
+    takes the largest value given, so there is one new version.
     """
     now = latest(versions, ["library_id"], [F.desc("version")]).where(~F.col("deleted"))
-    given = changes.select("library_id", *[F.col(c).alias(f"_{c}") for c in CHANGEABLE if c in changes.columns])
+    fields = [c for c in CHANGEABLE if c in changes.columns]
+    given = changes.groupBy("library_id").agg(*[F.max(c).alias(f"_{c}") for c in fields]) if fields else changes.select("library_id").distinct()
     made = now.join(given, "library_id")
     for c in CHANGEABLE:
         if f"_{c}" in made.columns:

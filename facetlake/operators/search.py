@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetlake.functions.vectors import composite, cosine, unit
+from facetlake.functions.vectors import composite, cosine, present, unit
 
 
 def search(
@@ -61,16 +61,21 @@ def top_neighbours(queries: DataFrame, corpus: DataFrame, id_col: str, vec_col:
     A stated query set against all rows: queries are gathered in blocks of
     ``block_rows`` and sent to the tasks; each task keeps the best ``k`` of its own
     rows for every query, and those few meet in one ranking by query. Without ``scale``
-    vectors are compared as they are, by their inner product.
+    vectors are compared as they are, by their inner product. Rows without a vector, with a null in it, or of another
+    size than the first query's are left out, of the queries as of the corpus.
     """
     first = None
     ready = _rows_to_unit if scale else np.asarray
-    gathered = queries.select(F.col(id_col).alias("id"), vec_col).orderBy("id").toArrow()
+    some = queries.where(present(F.col(vec_col)))
+    first_row = some.select(F.size(vec_col)).first()
+    size = first_row[0] if first_row else 0
+    corpus = corpus.where(present(F.col(vec_col), size))
+    gathered = some.where(F.size(vec_col) == size).select(F.col(id_col).alias("id"), vec_col).orderBy("id").toArrow()
     kind = corpus.schema[id_col].dataType.simpleString()
     for lo in range(0, max(len(gathered), 1), block_rows):
         part = gathered.slice(lo, block_rows)
         ids = part.column(0).to_pylist()
-        matrix = np.array(part.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
+        matrix = np.array(part.column(1).to_pylist(), np.float64).reshape(len(ids), size)
         sent = corpus.sparkSession.sparkContext.broadcast((ids, ready(matrix)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +83,7 @@ def top_neighbours(queries: DataFrame, corpus: DataFrame, id_col: str, vec_col:
             best: dict[int, list[tuple[float, object]]] = {}
             for batch in batches:
                 own = batch.column(0).to_pylist()
-                v = ready(np.array(batch.column(1).to_pylist(), np.float64).reshape(len(own), -1))
+                v = ready(np.array(batch.column(1).to_pylist(), np.float64).reshape(len(own), size))
                 if not len(own) or not len(query_ids):
                     continue
                 scores = np.round(v @ q.T, 6)

@@ -80,7 +80,9 @@ def tag_counts(index: DataFrame) -> DataFrame:
     return index.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag")
 
 
-def tags_by_category(image_tags: DataFrame, image: str, category: str, tags: str) -> DataFrame:
-    """(image, categories): a map from category to tags."""
+def tags_by_category(image_tags: DataFrame, image: str, category: str, tags: str, stamp: str | None = None) -> DataFrame:
+    """(image, categories): a map from category to tags. Of rows that repeat a category the newest by ``stamp`` counts, else the last in order."""
+    last = F.max(F.struct(*([stamp] if stamp else []), tags)).getField(tags).alias(tags)
+    image_tags = image_tags.groupBy(image, category).agg(last)
     entries = F.array_sort(F.collect_list(F.struct(category, tags)))
     return image_tags.groupBy(image).agg(F.map_from_entries(entries).alias("categories"))
