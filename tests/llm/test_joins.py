@@ -10,7 +10,7 @@ from facetlake.llm.components import components
 from facetlake.llm.decontaminate import contaminated, clean, load_tests
 from facetlake.llm.exact_dedup import build_directory, exact_dedup
 from facetlake.llm.jaccard_join import jaccard_components
-from facetlake.llm.sharding import cut_links, propagate, quotas, shard_documents
+from facetlake.llm.sharding import cut_links, homes_of, propagate, quotas, shard_documents
 from facetlake.llm.url_filter import build, judge_urls
 from facetlake.llm.warc import _unzipped, archive_report, parse, read_warc, resolve, write_warc
 from pyspark.sql import functions as F
@@ -345,6 +345,8 @@ def test_quotas_keep_counts():
         flow[i] -= n
         flow[j] += n
     assert all(v == 0 for v in flow.values()) and linked[0, 1] >= 2
+    assert quotas({(0, 1): 2, (1, 2): 3, (2, 0): 4}, {}) == ({(0, 1): 2, (1, 2): 2, (2, 0): 2}, {})
+    assert quotas({(0, 1): 3, (1, 2): 2}, {2: 1}) == ({(0, 1): 1, (1, 2): 1}, {(2, 0): 1})
 
 
 @pytest.mark.parametrize("count", [7, 400])
@@ -395,6 +397,44 @@ def test_propagation_ends_with_fewer_cut_links(spark):
     assert propagate(after, 6, 2).select("_id", "shard").exceptAll(after.select("_id", "shard")).count() == 0
 
 
+def fewest_cut(copies, shards):
+    """The fewest cut links over all ways of dealing groups of these sizes into even shards, tried one by one."""
+    total = sum(copies)
+    room = [total // shards + (i < total % shards) for i in range(shards)]
+
+    def ways(n, room):
+        if len(room) == 1:
+            return [(n,)] if n <= room[0] else []
+        return [(k, *rest) for k in range(min(n, room[0]) + 1) for rest in ways(n - k, room[1:])]
+
+    def least(i, room):
+        if i == len(copies):
+            return 0
+        return min(copies[i] - max(w) + least(i + 1, tuple(r - k for r, k in zip(room, w, strict=True))) for w in ways(copies[i], room))
+
+    return least(0, tuple(room))
+
+
+@pytest.mark.parametrize(
+    ("copies", "shards"),
+    [([7, *[1] * 13], 2), ([10, *[1] * 10], 2), ([7, 7, *[1] * 6], 2), ([25, *[1] * 5], 3), ([6, 5, *[1] * 7], 3), ([11, 2, 2, *[1] * 5], 2), ([4, 4, 4], 3)],
+)
+def test_groups_that_fit_a_shard_stay_whole(spark, copies, shards):
+    """Against the fewest cut links there can be, counted over whole groups."""
+    texts = [f"text {g}" for g, n in enumerate(copies) for _ in range(n)]
+    got = shard_documents(docs(spark, texts), shards=shards).cache()
+    sizes = Counter(r.shard for r in got.collect())
+    assert max(sizes.values()) - min(sizes[s] for s in range(shards)) <= 1
+    assert cut_links(got.withColumn("same", F.struct("size", "text_crc32")), "same") == fewest_cut(copies, shards)
+
+
+def test_homes_are_closed_while_the_rest_fits():
+    homes, wanted = homes_of([(5, 10), (6, 6), (7, 9)], 4, 10, 35)
+    assert homes == {5: 0, 7: 1, 6: 2} and wanted == [3]
+    assert homes_of([(5, 10), (6, 6), (7, 9)], 4, 10, 40)[1] == [2, 3]
+    assert homes_of([(g, 6) for g in range(5)], 3, 10, 30)[1] == [1, 2] and homes_of([], 3, 1, 0) == ({}, [0, 1, 2])
+
+
 def test_shards_of_repeated_ids_and_long_texts(spark):
     rows = [(1, "x" * 300_000)] * 9 + [(1, "y")] * 9 + [(None, None)] * 3 + [(2, "z")]
     got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards=4, part=3).collect()
