@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from facetlake.functions.vectors import present, unit
 
 from .clusters import NOISE, _few
-from .numbering import numbered_in_order
+from .numbering import cut, numbered_in_order
 
 
 def neighbour_votes(neighbours: DataFrame, labels: DataFrame, id_col: str, label: str) -> DataFrame:
@@ -183,6 +183,55 @@ def adapted_weights(outcomes: DataFrame, method: str, correct: Column, order: li
     return raw.select(method, F.round(F.col("w") / total, 6).alias("weight"))
 
 
+def adapted_thresholds(
+    corrections: DataFrame, owner: str, order: list[str], action: Column, start: float = 0.7, step: float = 0.02, low: float = 0.4, high: float = 0.95, width: int = 4096
+) -> DataFrame:
+    """(owner, threshold, merges, splits): merges lower an owner's threshold, splits raise it, within limits at every step.
+
+    Moving by a sum and staying between two limits is closed under composition, so corrections are put in order over all
+    tasks and composed in runs of at most ``width``, then the runs, until an owner is one step: no owner has to fit a task.
+    ``order`` should tell an owner's corrections apart; null or other actions move nothing, a null owner is an owner.
+    """
+    if width < 2:
+        raise ValueError("runs have to hold two steps at least")
+    inf = F.lit(float("inf"))
+    merge, split = (F.coalesce(action == k, F.lit(False)) for k in ("merge", "split"))
+    steps = corrections.select(
+        F.col(owner).alias("_owner"),
+        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
+        F.when(merge, -step).when(split, step).otherwise(0.0).alias("move"),
+        F.when(merge, low).otherwise(-inf).alias("low"),
+        F.when(split, high).otherwise(inf).alias("high"),
+        merge.cast("long").alias("merges"),
+        split.cast("long").alias("splits"),
+    )
+    keys, parts = ["_owner", *[f"_o{i}" for i in range(len(order))]], ["move", "low", "high", "merges", "splits"]
+    place = F.monotonically_increasing_id().alias("_m")
+    runs = cut(steps.repartitionByRange(*keys).sortWithinPartitions(*keys).select("_owner", place, *parts))
+
+    def then(a: Column, b: Column) -> Column:
+        held = lambda x: F.least(F.greatest(x + b["move"], b["low"]), b["high"])
+        return F.struct(
+            (a["move"] + b["move"]).alias("move"), held(a["low"]).alias("low"), held(a["high"]).alias("high"),
+            (a["merges"] + b["merges"]).alias("merges"), (a["splits"] + b["splits"]).alias("splits"),
+        )
+
+    none = F.struct(F.lit(0.0).alias("move"), (-inf).alias("low"), inf.alias("high"), F.lit(0).cast("long").alias("merges"), F.lit(0).cast("long").alias("splits"))
+
+    def composed(rows: DataFrame, *by: Column) -> DataFrame:
+        listed = rows.groupBy("_owner", *by).agg(F.min("_m").alias("_m"), F.array_sort(F.collect_list(F.struct("_m", *parts))).alias("s"))
+        return listed.select("_owner", "_m", F.aggregate("s", none, then).alias("f")).select("_owner", "_m", "f.*")
+
+    # Places have the partition above bit 33, so runs grow until those of one owner meet in one group.
+    shift, bits = 0, width.bit_length() - 1
+    while (runs.groupBy("_owner").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > width:
+        shift += bits
+        runs = cut(composed(runs, F.shiftright("_m", shift).alias("_run")))
+    whole = composed(runs)
+    value = F.least(F.greatest(F.lit(start) + F.col("move"), F.col("low")), F.col("high"))
+    return whole.select(F.col("_owner").alias(owner), value.alias("threshold"), "merges", "splits")
+
+
 def adapted_threshold(actions: Column, start: float = 0.7, step: float = 0.02, low: float = 0.4, high: float = 0.95) -> Column:
     """Folds an ordered array of ``merge`` and ``split`` into a threshold: merges lower it, splits raise it, within limits at every step."""
     return F.aggregate(

@@ -313,10 +313,9 @@ def adapted_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     lambda t, a: greatest(0.4::DOUBLE, least(0.95::DOUBLE, t + a)), 0.7::DOUBLE), 6) AS threshold FROM events GROUP BY user_id"""
 )
 def adapted_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's corrections are few; their fold needs their order."""
     kind = F.when(F.col("value") > 60, "split").when(F.col("value") < 40, "merge").otherwise("none")
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", kind.alias("k")))).alias("a"))
-    return rows.select("user_id", F.round(classify.adapted_threshold(F.transform("a", lambda x: x["k"])), 6).alias("threshold"))
+    rows = classify.adapted_thresholds(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], kind)
+    return rows.select("user_id", F.round("threshold", 6).alias("threshold"))
 
 
 # -- albums ---------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetlake.functions import boxes, quality, zero_shot
+from facetlake.functions import boxes, quality, shared_space, zero_shot
 from facetlake.functions.vectors import cosine
 from facetlake.operators import clusters, records, search
 from facetlake.sources.images import timestamps
@@ -141,6 +141,43 @@ def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where("score >= 0.1").orderBy(F.desc("score"), "vec_id").limit(20)
 
 
+LABEL_WORDS = ["sunset", "nature", "beach", "snowy", "Night", "food", "indoor", "city", "dark", "bright", "portrait", "personal", "landscape", "vivid", "party", "chair"]
+PLACES = [0, 1, 4, 8, 12, 16, 17]
+
+
+@query(
+    f"""WITH t AS (SELECT p_partkey, lower({LABEL_WORDS}[p_partkey % 16 + 1] || ' ' || p_type || ' ' || {LABEL_WORDS}[(p_partkey // 16) % 16 + 1]) AS t FROM part),
+    w AS (SELECT *, CASE WHEN list_has_any(string_split_regex(t, '\\s+'), ['person', 'people', 'face', 'portrait', 'party', 'wedding']) THEN 0.05 ELSE 0 END::DOUBLE AS people,
+        contains(t, 'sunset')::INT AS sunset, contains(t, 'nature')::INT AS nature, contains(t, 'beach')::INT AS beach, contains(t, 'snow')::INT AS snow, contains(t, 'night')::INT AS night,
+        contains(t, 'food')::INT AS food, contains(t, 'indoor')::INT AS indoor, contains(t, 'city')::INT AS city FROM t),
+    r AS (SELECT p_partkey, people AS r1, people + 0.3 * (0.8 * sunset + 0.2 * nature + 0.3 * beach + 0.7 * snow + 0.1 * night + 0.6 * food + 0.4 * indoor + 0.3 * city) AS r0,
+        people + 0.3 * (0.3 * sunset + 0.6 * nature + 0.4 * beach + 0.7 * snow + 0.1 * night + 0.4 * food + 0.35 * indoor + 0.3 * city) AS r4,
+        people + 0.3 * (0.1 * sunset + 0.2 * nature + 0.6 * beach + 0.7 * snow + 0.15 * night + 0.2 * food + 0.3 * indoor + 0.35 * city) AS r8,
+        0.5::DOUBLE * ((snow = 1 OR contains(t, 'bright'))::INT - (night = 1 OR contains(t, 'dark'))::INT) AS r12,
+        0.3::DOUBLE * (regexp_matches(t, 'portrait|person|people')::INT - regexp_matches(t, 'landscape|panorama')::INT) AS r16,
+        0.3::DOUBLE * regexp_matches(t, 'colorful|vivid')::INT AS r17 FROM w),
+    n AS (SELECT *, sqrt(r0 * r0 + r4 * r4 + r8 * r8 + 9 * r1 * r1 + r12 * r12 + r16 * r16 + r17 * r17) AS len FROM r)
+    SELECT p_partkey, {", ".join(f"CASE WHEN len > 0 THEN round(r{i} / len, 6) ELSE 0.0 END AS place_{i}" for i in PLACES)} FROM n"""
+)
+def keyword_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in the space of images: a part's type between two words that follow from its key."""
+    word = lambda n: F.get(F.array(*[F.lit(w) for w in LABEL_WORDS]), n.cast("int"))
+    text = F.concat_ws(" ", word(F.col("p_partkey") % 16), "p_type", word(F.floor(F.col("p_partkey") / 16) % 16))
+    rows = table(spark, sf_dir, "part").select("p_partkey", shared_space.text_vector(text).alias("v"))
+    return rows.select("p_partkey", *[F.round(F.col("v")[i], 6).alias(f"place_{i}") for i in PLACES])
+
+
+@query(
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+    s AS (SELECT vec_id, round((0.33 * v[1] + 0.21 * v[5] + 0.21 * v[9]) / sqrt(0.33 * 0.33 + 2 * 0.21 * 0.21) / sqrt(list_dot_product(v, v)), 6) AS score FROM v)
+    SELECT vec_id, score FROM s WHERE score >= 0.1 ORDER BY score DESC, vec_id LIMIT 20"""
+)
+def images_for_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors nearest to a text."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return shared_space.images_for_text(vectors, "vec_id", "A sunset on the beach", least=0.1)
+
+
 # -- small columns ----------------------------------------------------------------
 
 

@@ -59,6 +59,33 @@ def prototype_updates(corrections: DataFrame, floor: float = 0.001) -> DataFrame
     )
 
 
+def threshold_updates(corrections: DataFrame, owner: str, start: float = 0.7, step: float = 0.02, low: float = 0.4, high: float = 0.95) -> DataFrame:
+    """Running thresholds from a stream of (owner, seq, action): merges lower them, splits raise them, within limits.
+
+    Each micro-batch gives the owners it touches (owner, threshold, merges, splits). A batch's corrections count in order
+    of ``seq``; what comes in a later batch counts later. Other or null actions move nothing.
+    """
+    kind = corrections.schema[owner].dataType.simpleString()
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, merges, splits = state.get if state.exists else (start, 0, 0)
+        for action in pd.concat(list(batches)).sort_values("seq", kind="stable")["action"]:
+            if action == "merge":
+                now, merges = max(low, now - step), merges + 1
+            elif action == "split":
+                now, splits = min(high, now + step), splits + 1
+        state.update((now, merges, splits))
+        yield pd.DataFrame({owner: [key[0]], "threshold": [now], "merges": [merges], "splits": [splits]})
+
+    return corrections.groupBy(owner).applyInPandasWithState(
+        update,
+        f"`{owner}` {kind}, threshold double, merges long, splits long",
+        "threshold double, merges long, splits long",
+        "update",
+        GroupStateTimeout.NoTimeout,
+    )
+
+
 def assign_stream(faces: DataFrame, assign: Callable[[DataFrame, int], None], checkpoint: str):
     """Starts a query that hands every micro-batch of new faces to ``assign(batch, epoch)``."""
     return faces.writeStream.foreachBatch(assign).option("checkpointLocation", checkpoint).start()

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import math
 
 import numpy as np
@@ -217,6 +218,24 @@ def test_votes_and_weights(spark):
     assert up_down == pytest.approx(0.89)
 
 
+def test_thresholds_of_any_length_are_composed(spark):
+    """Against the fold, with one owner over many tasks and runs, and owners without any move."""
+    rnd = random.Random(5)
+    rows = [(0 if i % 3 else rnd.choice([1, 2, None]), i, rnd.choices(["merge", "split", "none", None], [4, 4, 1, 1])[0]) for i in range(3000)]
+    rows += [(7, 0, "none"), (8, 0, "split")]
+    df = spark.createDataFrame(rows, "owner int, seq int, action string").repartition(5)
+    want = {}
+    for owner, _, action in sorted(rows, key=lambda r: r[1]):
+        t, m, s = want.get(owner, (0.7, 0, 0))
+        want[owner] = (max(t - 0.02, 0.4), m + 1, s) if action == "merge" else (min(t + 0.02, 0.95), m, s + 1) if action == "split" else (t, m, s)
+    for width in (4, 64, 4096):
+        got = {r.owner: (r.threshold, r.merges, r.splits) for r in classify.adapted_thresholds(df, "owner", ["seq"], F.col("action"), width=width).collect()}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want), width
+    assert classify.adapted_thresholds(df.limit(0), "owner", ["seq"], F.col("action")).count() == 0
+    with pytest.raises(ValueError, match="two steps"):
+        classify.adapted_thresholds(df, "owner", ["seq"], F.col("action"), width=1)
+
+
 # -- albums -----------------------------------------------------------------------
 
 DAY = dt.datetime(2024, 6, 15, 9)

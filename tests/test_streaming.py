@@ -1,6 +1,6 @@
 import datetime as dt
 
-from facetlake.streaming.online import assign_stream, prototype_updates, session_events
+from facetlake.streaming.online import assign_stream, prototype_updates, session_events, threshold_updates
 
 DAY = dt.datetime(2024, 6, 15, 9)
 
@@ -37,3 +37,24 @@ def test_batches_are_handed_over(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(seen) == 2
+
+
+def test_thresholds_of_a_stream_go_on_after_a_restart(spark, tmp_path):
+    schema, seen = "owner int, seq long, action string", {}
+
+    def keep(batch, epoch):
+        seen.update({r.owner: (round(r.threshold, 6), r.merges, r.splits) for r in batch.collect()})
+
+    def run():
+        stream = threshold_updates(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "owner")
+        q = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/ck").start()
+        q.processAllAvailable()
+        q.stop()
+
+    first = [(1, i, "split") for i in range(20)] + [(2, 0, "none"), (2, 1, None)]
+    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    assert seen == {1: (0.95, 0, 20), 2: (0.7, 0, 0)}
+    spark.createDataFrame([(1, 21, "merge"), (1, 20, "split"), (3, 0, "merge")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    assert seen == {1: (0.93, 1, 21), 2: (0.7, 0, 0), 3: (0.68, 1, 0)}
