@@ -665,7 +665,7 @@ def primary_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import hierarchy_queries, photo_queries, store_queries  # noqa: F401  (they register themselves)
+    from . import hierarchy_queries, photo_queries, store_queries, stream_queries  # noqa: F401  (they register themselves)
 
     return QUERIES
 
