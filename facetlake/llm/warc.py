@@ -4,22 +4,29 @@ Writing shuffles headers (id, digest, length) by payload digest and joins the
 pages' headers to the original of their digest: one response record holds the payload,
 the others refer to it in revisit records with headers of their own. Payloads
 of pages without a copy never leave the scan, and of copies only the originals'
-move. Spark's text writer makes the files: a WARC record ends with an empty
-line, so records are lines that end with ``\\r\\n\\r\\n``. Files are bounded by
-bytes: records are written by size, fewer to a file the larger they are.
+move. A sink for Arrow batches makes the files: each record is a gzip member, as readers of
+archives expect that look up single records, and a file starts with a record about itself. Files are
+bounded by bytes: records are written by size, fewer to a file the larger they are.
 
-Reading parses each file by its content lengths and joins revisit records to
+Reading takes a file member by member, parses by content lengths, and joins revisit records to
 the responses that they refer to, by record and digest.
 """
 
 from __future__ import annotations
 
+import bisect
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from .filters import flagged
 from .storage import stored
@@ -28,6 +35,7 @@ VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_PREFIX = "urn:page:"
 END = "\r\n\r\n"
+DATE = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
 def _lines(*parts: Column | str) -> Column:
@@ -70,23 +78,23 @@ def resolve(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html"
     return copies.select(*columns).unionByName(alone.select(*columns))
 
 
-#: Bytes that the blocks of a file may hold, one record larger than that excepted, and the sizes of record that files of their own hold.
+#: Bytes that the records of a file may hold, one record larger than that excepted, and the sizes of block that have files of their own.
 FILE_BYTES = 256 << 20
 SIZES = [1 << 16, 1 << 20, 1 << 24]
 
 
-def write_warc(resolved: DataFrame, path: str, date: str | None = None, file_bytes: int = FILE_BYTES, largest: int | None = None) -> None:
-    """Gzipped WARC files under ``path``, one record for each row of ``resolve``.
+def write_warc(resolved: DataFrame, path: str, date: str | None = None, file_bytes: int = FILE_BYTES) -> None:
+    """Gzipped WARC files under ``path``, one record and one gzip member for each row of ``resolve``.
 
-    ``date`` is the moment of writing where it is not given. A record's name holds
-    its page's id and digest. ``largest`` bounds the payloads' bytes where that is known. Existing files are an error.
+    Each file starts with a ``warcinfo`` record. ``date`` is the moment of writing where it is not given. A record's
+    name holds its page's id and digest. Existing files are an error. All is written in one pass over ``resolved``.
     """
     uri = F.coalesce(F.regexp_replace(F.col("_url"), r"[\x00-\x20]", "%20"), F.lit("about:blank"))
     record_id = lambda c: _lines(f"<{ID_PREFIX}", F.coalesce(c.cast("string"), F.lit("")), ":", F.col("digest"), ">")
     http = _lines("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ", F.col("bytes").cast("string"), END)
     revisit = F.col("refers_to").isNotNull()
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("_payload")))
-    moment = F.lit(date) if date else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    moment = F.lit(date) if date else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), DATE)
     header = _lines(
         f"{VERSION}\r\nWARC-Type: ",
         F.when(revisit, "revisit").otherwise("response"),
@@ -103,20 +111,99 @@ def write_warc(resolved: DataFrame, path: str, date: str | None = None, file_byt
         F.octet_length(block).cast("string"),
         END,
     )
-    held = F.when(revisit, 0).otherwise(F.col("bytes"))
-    if largest is None:
-        largest = resolved.agg(F.max(held)).first()[0] or 0
-    low = -1
-    for high in [s for s in SIZES if s < largest] + [max(largest, SIZES[0])]:
-        (
-            resolved.where((held > low) & (held <= high))
-            .select(F.concat(header, block).alias("value"))
-            .write.option("lineSep", END)
-            .option("compression", "gzip")
-            .option("maxRecordsPerFile", max(1, file_bytes // (high + 2048)))
-            .text(path if low < 0 else f"{path}/above-{low}")
-        )
-        low = high
+    spark = resolved.sparkSession
+    spark.dataSource.register(WarcSink)
+    rows = resolved.select(header.cast("binary").alias("header"), block.cast("binary").alias("block"))
+    rows.write.format(WarcSink.name()).option("file_bytes", file_bytes).mode("append").save(path)
+
+
+class WarcSink(DataSource):
+    """Writes rows (header, block) as gzip members: Spark's text writer would compress a whole file as one."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "facetlake_warc"
+
+    def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
+        return WarcWriter(self.options["path"], int(self.options["file_bytes"]))
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    folder: str | None
+
+
+class WarcWriter(DataSourceArrowWriter):
+    """Each attempt of a task writes to a folder of its own; those of the attempts that count are moved into place at the end."""
+
+    def __init__(self, path: str, file_bytes: int) -> None:
+        self.path, self.file_bytes, self.job = path.rstrip("/"), file_bytes, uuid.uuid4().hex
+        fs, root = self._open()
+        if fs.get_file_info(root).type != FileType.NotFound and fs.get_file_info(FileSelector(root)):
+            raise ValueError(f"{path} exists and is not empty")
+
+    def _open(self) -> tuple[FileSystem, str]:
+        return FileSystem.from_uri(self.path)
+
+    def _pending(self, root: str) -> str:
+        return f"{root}/_temporary-{self.job}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        fs, root = self._open()
+        task = uuid.uuid4().hex
+        folder, files, made = f"{self._pending(root)}/{task}", {}, 0
+        try:
+            for batch in iterator:
+                for header, block in zip(batch.column("header"), batch.column("block"), strict=True):
+                    header, block = header.as_py(), block.as_py()
+                    n = len(header) + len(block) + len(END)
+                    size = bisect.bisect_left(SIZES, len(block))
+                    most = max(1, self.file_bytes // (SIZES[size] + 2048)) if size < len(SIZES) else self.file_bytes
+                    out, records, held = files.pop(size, (None, 0, 0))
+                    if out is not None and (records >= most or held + n > self.file_bytes):
+                        out.close()
+                        out = None
+                    if out is None:
+                        if not made:
+                            fs.create_dir(folder, recursive=True)
+                        name, records, held = f"{task}-{made:05d}.warc.gz", 0, 0
+                        out, made = fs.open_output_stream(f"{folder}/{name}", compression=None), made + 1
+                        out.write(member(*information(name)))
+                    out.write(member(header, block))
+                    files[size] = (out, records + 1, held + n)
+        finally:
+            for out, _, _ in files.values():
+                out.close()
+        return Written(task if made else None)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        fs, root = self._open()
+        fs.create_dir(root, recursive=True)
+        for m in messages:
+            if m is not None and m.folder is not None:
+                fs.move(f"{self._pending(root)}/{m.folder}", f"{root}/{m.folder}")
+        self._swept(fs, root)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._swept(*self._open())
+
+    def _swept(self, fs: FileSystem, root: str) -> None:
+        if fs.get_file_info(self._pending(root)).type == FileType.Directory:
+            fs.delete_dir(self._pending(root))
+
+
+def information(name: str) -> tuple[bytes, bytes]:
+    """Header and block of the ``warcinfo`` record of a file."""
+    block = b"software: facetlake\r\nformat: WARC File Format 1.1\r\n"
+    lines = [VERSION, "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}"]
+    lines += [f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return ("\r\n".join(lines) + END).encode(), block
+
+
+def member(header: bytes, block: bytes) -> bytes:
+    """One record as one gzip member."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return b"".join([z.compress(header), z.compress(block), z.compress(END.encode()), z.flush()])
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -134,14 +221,27 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         place += 4
 
 
+def members(data: bytes, step: int = 1 << 14) -> Iterator[bytes]:
+    """The members of a gzip file one by one, read in steps; other bytes are one member as they are."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    place = 0
+    while place < len(data):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            if place >= len(data):
+                raise ValueError("a gzip member ends before its end")
+            part = data[place : place + step]
+            out.append(z.decompress(part))
+            place += len(part)
+        place -= len(z.unused_data)
+        yield b"".join(out)
+
+
 def _unzipped(data: bytes) -> bytes:
     """All members of a gzip file; other bytes as they are."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(out) + data
+    return b"".join(members(data))
 
 
 def _name(value: str | None) -> tuple[str | None, str | None]:
@@ -153,7 +253,7 @@ def _name(value: str | None) -> tuple[str | None, str | None]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, record_type, refers_to, digest, url, payload) of all records under ``path``.
+    """(record_id, record_type, refers_to, digest, url, payload) of all records of pages under ``path``.
 
     Ids are those that ``write_warc`` gave, as strings; the digest is the one in the
     header. The payload is what follows the HTTP header, in bytes; a revisit record
@@ -165,8 +265,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for h, block in parse(_unzipped(content.as_py())):
+                for h, block in (r for m in members(content.as_py()) for r in parse(m)):
                     kind = h["warc-type"]
+                    if kind == "warcinfo":
+                        continue
                     body = block.partition(b"\r\n\r\n")[2] if kind != "revisit" else None
                     page, digest = _name(h["warc-record-id"])
                     rows.append((page, kind, _name(h.get("warc-refers-to"))[0], digest, h.get("warc-target-uri"), body))
@@ -199,8 +301,7 @@ def archive_report(
     Other columns are not read; an empty table gives an empty result.
     """
     spark = pages.sparkSession
-    largest = pages.agg(F.max(F.octet_length(F.col(payload_col).cast("string")))).first()[0] or 0
-    write_warc(resolve(pages, id_col, payload_col, url_col, min_bytes, salts), path, largest=largest)
+    write_warc(resolve(pages, id_col, payload_col, url_col, min_bytes, salts), path)
     kind = pages.schema[id_col].dataType
     typed = lambda c: F.when(F.col(c) != "", F.col(c)).cast(kind)
     records = read_warc(spark, path).select(
