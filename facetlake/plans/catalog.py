@@ -288,7 +288,7 @@ def euclidean_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query_id, CASE WHEN confidence >= 0.4 THEN cluster END AS predicted, confidence FROM b"""
 )
 def ensemble_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine and Euclidean votes; the kernel machine's share of the weight needs a trained model (``operators/kernel.py``)."""
+    """Cosine and Euclidean votes; with the kernel arm it is ``ensemble_of_three``."""
     known, new, near = _known_and_new(spark, sf_dir)
     best = classify.majority(classify.neighbour_votes(near, known, "vec_id", "label"))
     euclid = classify.best_share(classify.euclidean_shares(new, known, "vec_id", "embedding", "label", 5))
@@ -665,7 +665,7 @@ def primary_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import hierarchy_queries, photo_queries, store_queries, stream_queries  # noqa: F401  (they register themselves)
+    from . import ensemble_queries, hierarchy_queries, photo_queries, store_queries, stream_queries  # noqa: F401  (they register themselves)
 
     return QUERIES
 
