@@ -14,6 +14,7 @@ from facetlake.functions.vectors import present, unit
 
 from .clusters import NOISE, _few
 from .numbering import cut, numbered_in_order
+from .search import Best, blocks, matrix_of, slices
 
 
 def neighbour_votes(neighbours: DataFrame, labels: DataFrame, id_col: str, label: str) -> DataFrame:
@@ -122,20 +123,23 @@ def euclidean_shares(queries: DataFrame, corpus: DataFrame, id_col: str, vec_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sent.value
-        best: list[list] = [[] for _ in ids]
+        best, lengths = Best(ids, k), (q * q).sum(1) if len(ids) else np.zeros(0)
         for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            own, labels, v = batch.column(0).to_pylist(), batch.column(2).to_pylist(), np.array(batch.column(1).to_pylist(), np.float64)
-            for j, qid in enumerate(ids):
-                far = np.round(np.sqrt(((v - q[j]) ** 2).sum(1)), 6)
-                reach = np.partition(far, min(k, len(far) - 1))[min(k, len(far) - 1)]
-                found = [(float(far[i]), own[i], labels[i]) for i in np.flatnonzero(far <= reach) if own[i] != qid]
-                best[j] = sorted(found + best[j], key=lambda r: r[:2])[:k]
-        flat = [(qid, *r) for qid, rows in zip(ids, best, strict=True) for r in rows]
+            for part in slices(batch):
+                own, labels, v = part.column(0).to_pylist(), part.column(2).to_pylist(), matrix_of(part.column(1), size)
+                squares = (v * v).sum(1)
+                # Products say which faces may be near; their distances are then taken from the differences.
+                slack = 2e-6 + 1e-6 * float(np.sqrt(max(squares.max(), lengths.max(initial=0.0))))
+                for at in blocks(len(ids)):
+                    rough = -np.sqrt(np.maximum(lengths[at][:, None] + squares - 2 * (q[at] @ v.T), 0))
+                    i, j = best.worth(at, rough, slack)
+                    for lo in range(0, len(i), 65_536):
+                        x, y = i[lo : lo + 65_536], j[lo : lo + 65_536]
+                        best.add(at[x], -np.round(np.sqrt(((v[y] - q[at[x]]) ** 2).sum(1)), 6), y, own, labels)
+        flat = best.rows()
         if flat:
-            a, d, i, c = zip(*flat, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(d, pa.float64()), pa.array(i), pa.array(c)], schema=pa.schema([("query_id", batch_types[0]), ("d", pa.float64()), (id_col, batch_types[0]), ("cluster", batch_types[1])]))
+            a, s, i, c = zip(*flat, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array([-x for x in s], pa.float64()), pa.array(i), pa.array(c)], schema=pa.schema([("query_id", batch_types[0]), ("d", pa.float64()), (id_col, batch_types[0]), ("cluster", batch_types[1])]))
 
     batch_types = [asked.schema.field(0).type, to_arrow_type(corpus.schema[label].dataType)]
     rows = corpus.where(F.col(label).isNotNull() & present(F.col(vec_col), size)).select(id_col, F.col(vec_col).cast("array<double>").alias("v"), label)
