@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from facetlake.functions.vectors import present, unit
 
-from .search import active, needs_rebuild
+from .search import Best, active, blocks, matrix_of, needs_rebuild, slices
 
 
 def fit_cells(corpus: DataFrame, id_col: str, vec_col: str, cells: int, sample_rows: int = 50_000, seed: int = 1) -> np.ndarray:
@@ -42,7 +42,7 @@ def with_cells(rows: DataFrame, centres: np.ndarray, id_col: str, vec_col: str,
         for batch in batches:
             if not len(batch):
                 continue
-            v = np.array(batch.column(1).to_pylist(), np.float64)
+            v = matrix_of(batch.column(1), c.shape[1])
             order = np.argsort(-(v @ c.T), axis=1, kind="stable")[:, :cells]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=[id_col, "v", "cells"])
 
@@ -68,37 +68,39 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, centres: np
     pruned from the scan. Ids in ``deleted`` are not found.
     """
     asked = with_cells(queries, centres, id_col, vec_col, probes).toArrow()
-    by_cell: dict[int, tuple[list, np.ndarray]] = {}
+    by_cell: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     cell = np.array(asked.column("cell").to_pylist())
-    ids, v = asked.column(0).to_pylist(), asked.column(1).to_pylist()
+    ids, v = asked.column(0).to_pylist(), matrix_of(asked.column(1).combine_chunks(), centres.shape[1])
+    names = sorted(set(ids))
+    place = {x: i for i, x in enumerate(names)}
+    places = np.array([place[x] for x in ids], np.int64)
     for c in sorted(set(cell.tolist())):
         at = np.flatnonzero(cell == c)
-        by_cell[c] = [ids[i] for i in at], np.array([v[i] for i in at])
-    sent = spark.sparkContext.broadcast(by_cell)
+        at = at[np.argsort(places[at], kind="stable")]
+        by_cell[c] = places[at], v[at]
+    sent = spark.sparkContext.broadcast((names, by_cell))
     rows = spark.read.parquet(path).where(F.col("cell").isin(list(by_cell)))
     if deleted is not None:
         rows = active(rows, deleted, id_col)
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[object, list[tuple[float, object]]] = {}
-        for batch in batches:
-            cells, own = np.array(batch.column(2).to_pylist(), np.int64), batch.column(0).to_pylist()
-            vectors = batch.column(1)
-            for c in np.unique(cells):
-                at = np.flatnonzero(cells == c)
-                m = np.array(vectors.take(pa.array(at)).to_pylist(), np.float64)
-                query_ids, q = sent.value[int(c)]
-                scores = np.round(m @ q.T, 6)
-                for j, qid in enumerate(query_ids):
-                    s = scores[:, j]
-                    cut = np.partition(s, -min(k + 1, len(s)))[-min(k + 1, len(s))]
-                    found = [(-float(s[i]), own[at[i]]) for i in np.flatnonzero(s >= cut) if own[at[i]] != qid]
-                    best[qid] = sorted(found + best.get(qid, []))[:k]
-        flat = [(qid, i, -s) for qid, rows in best.items() for s, i in rows]
+        names, by_cell = sent.value
+        best = Best(names, k)
+        for whole in batches:
+            for batch in slices(whole):
+                cells, own = np.array(batch.column(2).to_pylist(), np.int64), batch.column(0).to_pylist()
+                m = matrix_of(batch.column(1), centres.shape[1])
+                for c in np.unique(cells):
+                    at = np.flatnonzero(cells == c)
+                    asked, q = by_cell[int(c)]
+                    here = [own[i] for i in at]
+                    for some in blocks(len(asked)):
+                        best.offer(asked[some], np.round(q[some] @ m[at].T, 6), here)
+        flat = best.rows()
         if flat:
-            a, b, c = zip(*flat, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c, pa.float64())], names=["query_id", id_col, "similarity"])
+            a, s, b = zip(*flat, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s, pa.float64())], names=["query_id", id_col, "similarity"])
 
     found = rows.select(id_col, "v", "cell").mapInArrow(run, f"query_id {kind}, `{id_col}` {kind}, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col)
