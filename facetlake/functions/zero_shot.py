@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 def softmax(scores: Column) -> Column:
     """exp(x - max) / sum over an array of doubles; an empty array stays empty."""
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda x: F.exp(x - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda x: x / total)
+    # What holds for a whole array is an entry of an array around it, so it is worked out once and not for each score.
+    powers = F.transform(F.array(F.array_max(scores)), lambda top: F.transform(scores, lambda x: F.exp(x - top)))
+    totals = F.transform(powers, lambda p: F.struct(p.alias("p"), F.aggregate(p, F.lit(0.0), lambda a, x: a + x).alias("total")))
+    return F.transform(totals, lambda t: F.transform(t["p"], lambda x: x / t["total"]))[0]
 
 
 def best_labels(scored: Column, k: int = 5) -> Column:
